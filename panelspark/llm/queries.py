@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import orc_tokens, packing
+from . import neardup, orc_tokens, packing
 
 END_ID = 2
 
@@ -25,10 +25,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
     }
 
 
