@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from . import decontam, neardup, orc_tokens, packing
+from pyspark.sql import functions as F
+from . import decontam, langid, neardup, orc_tokens, packing, quality
+from .common import bucket_of_id
 
 END_ID = 2
 
@@ -40,6 +41,17 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_orc(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def fitted_languages(documents: DataFrame) -> langid.LanguageModel:
+    """Learned from documents whose crc32(doc_id) mod 5 isn't 0."""
+    return langid.fit(documents.filter(bucket_of_id("doc_id", 5) != 0))
+
+
+def op3_nearest_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = langid.predict(documents.select("doc_id", "text"), fitted_languages(documents))
+    return found.select("doc_id", F.coalesce(bucket_of_id("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return packing.pack(pieces)
@@ -49,6 +61,18 @@ def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tie")
 
 
+def fitted_quality(documents: DataFrame, labels: DataFrame) -> quality.RuleEnsemble:
+    """Learned from labels whose crc32(doc_id) mod 3 isn't 1."""
+    return quality.fit(documents, labels.filter(bucket_of_id("doc_id", 3) != 1))
+
+
+def op10_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = fitted_quality(documents, _table(spark, sf_dir, "labels"))
+    found = quality.scored(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(bucket_of_id("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,9 +80,11 @@ def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
+        "op3_nearest_centroid_lang": op3_nearest_centroid_lang,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_positional_decontamination": op8_positional_decontamination,
         "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
+        "op10_rule_ensemble_quality": op10_rule_ensemble_quality,
     }
 
 
