@@ -7,11 +7,45 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from . import decontam, langid, neardup, orc_tokens, packing, quality
+
+from . import bm25, decontam, langid, maglev, neardup, orc_tokens, packing, quality, urlfilter, warc
 from .common import bucket_of_id
 
 END_ID = 2
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS h FROM p),
+bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda k: lpad(bin(strpos('0123456789abcdef', h[k]) - 1), 4, '0')), 'string_agg', '') AS b FROM d),
+k AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY h) AS keeper,
+  list_aggregate(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(
+    16 * CAST(b[5 * k + 1] AS INTEGER) + 8 * CAST(b[5 * k + 2] AS INTEGER) + 4 * CAST(b[5 * k + 3] AS INTEGER) + 2 * CAST(b[5 * k + 4] AS INTEGER) + CAST(b[5 * k + 5] AS INTEGER) AS BIGINT) + 1]), 'string_agg', '') AS payload_digest FROM bits)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k
+"""
+
+OP7_SQL = """
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM cut),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(rule, rule_host, rule_path, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+met AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM u JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN met USING (page_id)
+"""
+
+
+def op4_sql() -> str:
+    """The slots as a list; the table is filled by turns, which SQL can't express in reasonable space."""
+    table = maglev.lookup_table(SHARDS)
+    return f"""
+WITH slots AS (SELECT [{", ".join(map(str, table))}] AS held),
+d AS (SELECT doc_id, source, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % {len(table)} AS slot FROM documents)
+SELECT doc_id, source, slot, 'shard-' || lpad(CAST(held[slot + 1] AS VARCHAR), 3, '0') AS shard FROM d, slots
+"""
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -41,6 +75,11 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_orc(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op2_block_max_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return bm25.search(documents, documents.filter("doc_id % 50 = 0"), k=10)
+
+
 def fitted_languages(documents: DataFrame) -> langid.LanguageModel:
     """Learned from documents whose crc32(doc_id) mod 5 isn't 0."""
     return langid.fit(documents.filter(bucket_of_id("doc_id", 5) != 0))
@@ -52,11 +91,29 @@ def op3_nearest_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(bucket_of_id("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def op4_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maglev.place(_table(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "source", "slot", "shard")
+
+
+def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return packing.pack(pieces)
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op7_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
 def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tie")
 
@@ -80,8 +137,12 @@ def op9_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_orc": op1_token_orc,
+        "op2_block_max_bm25": op2_block_max_bm25,
         "op3_nearest_centroid_lang": op3_nearest_centroid_lang,
+        "op4_maglev_sharding": op4_maglev_sharding,
+        "op5_dictionary_warc": op5_dictionary_warc,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_url_expressions": op7_url_expressions,
         "op8_positional_decontamination": op8_positional_decontamination,
         "op9_chosen_path_near_dedup": op9_chosen_path_near_dedup,
         "op10_rule_ensemble_quality": op10_rule_ensemble_quality,
@@ -90,5 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_maglev_sharding": op4_sql(),
+        "op5_dictionary_warc": OP5_SQL,
+        "op7_url_expressions": OP7_SQL,
         "op8_positional_decontamination": OP8_SQL,
     }
