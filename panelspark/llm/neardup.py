@@ -7,9 +7,10 @@ the child named by the token's value. Texts of high similarity share tokens and
 still hold many texts branch further. Within a leaf, texts are compared exhaustively by their minwise sketches, and
 what passes is confirmed on the full sets.
 
-To keep the work linear for groups of many near copies, pairs are taken in two rounds. First each text of a leaf is
-held against the leaf's smallest representative. Then only pairs of texts that aren't connected yet are compared, so
-no connection is lost, and texts that are already together are not expanded into all pairs.
+To keep the work linear for groups of many near copies, pairs are taken in rounds. In the first ones each text of a
+leaf proposes only its most similar text outside its own component so far. In the last one every likely pair of texts
+that still aren't connected is confirmed, so no connection is lost, and texts that are already together are not
+expanded into all pairs.
 
 Recall: with one or two selections a node (1.4 on average) and depth 3, a pair at similarity 0.75 meets in a given
 tree with probability 0.63, in at least one of 10 trees with 0.9999; more similar pairs meet more surely.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, broadcast_if_small, mixed, run_hashes, shingle_hashes, stored, text_chunks, word_spans
+from .common import LOWER, WHITE, broadcast_if_small, mixed, run_hashes, shingle_hashes, small_batches, stored, text_chunks, word_spans
 from .components import connected_components
 
 TOKENS = 128
@@ -41,6 +42,8 @@ BLOCK = 512
 #: A sketch of 128 one-byte tokens has a standard error of 0.038 at 0.75; pairs below this estimate aren't confirmed.
 LEAST_ESTIMATE = 0.60
 BROADCAST_ROWS = 500_000
+#: Rounds in which each text proposes only its most similar one.
+PROPOSALS = 2
 
 _SEEDS = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64))
 _XOR = (_SEEDS >> np.uint64(32)).astype(np.uint32)
@@ -128,24 +131,19 @@ def _walk(source: DataFrame, depth: int, root: bool) -> DataFrame:
 
 
 def leaves(reps: DataFrame, extra_rounds: int = 2) -> DataFrame:
-    """(node, rep, size, pivot) of the leaves with two texts or more; pivot is the smallest rep of the leaf.
-
-    Rows of size 0 stand for inner nodes: such a rep is held against the pivot only.
-    """
+    """(node, rep) of the leaves with two texts or more; leaves that hold over LEAF texts branch further."""
     rows = stored(_walk(reps, DEPTH, True).distinct(), "leaf_rows")
     found = None
     for step in range(extra_rounds + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-        sizes = stored(sizes, f"sizes{step}")
+        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes{step}")
         shared = stored(rows.join(sizes, "node"), f"shared{step}")
-        wide = shared.filter(F.col("size") > LEAF)
-        if step == extra_rounds or wide.isEmpty():
-            return shared if found is None else found.unionByName(shared)
-        # What leaves a wide node alone at the next levels is still held against that node's pivot.
-        pairs_of_wide = wide.filter("rep != pivot").select("node", "rep", F.lit(0).cast("long").alias("size"), "pivot")
-        narrow = shared.filter(F.col("size") <= LEAF).unionByName(pairs_of_wide)
-        found = narrow if found is None else found.unionByName(narrow)
-        rows = stored(_walk(wide.select("node", "rep").join(reps, "rep"), 2, False).distinct(), f"deeper{step}")
+        last = step == extra_rounds or shared.filter(F.col("size") > LEAF).isEmpty()
+        own = (shared if last else shared.filter(F.col("size") <= LEAF)).select("node", "rep")
+        found = own if found is None else found.unionByName(own)
+        if last:
+            return found
+        wide = shared.filter(F.col("size") > LEAF).select("node", "rep")
+        rows = stored(_walk(wide.join(reps, "rep"), 2, False).distinct(), f"deeper{step}")
     raise AssertionError
 
 
@@ -157,24 +155,8 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same / TOKENS - 1 / 256) / (1 - 1 / 256)
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree enough."""
-    wide = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
-            agree = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= LEAST_ESTIMATE
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(agree)) for k in (0, 1)], names=["a", "b"])
-
-    return wide.select("a", "b", "x", "y").mapInArrow(kept, "a long, b long")
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union; the texts are read again for them."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = stored(wanted, "wanted")
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, values) of the wanted documents, whose texts are read again: the sorted hashes of all their shingles."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "doc_id", "left_semi")
 
@@ -183,6 +165,12 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             for first, sets in _sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([x.tobytes() for x in sets], type=pa.binary())], names=["doc_id", "values"])
 
+    return stored(texts.mapInArrow(full, "doc_id long, values binary"), "sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -196,34 +184,45 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, type=pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    sets = stored(texts.mapInArrow(full, "doc_id long, values binary"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("values").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long").distinct()
 
 
-def _across(shared: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, components: DataFrame | None, sketches: DataFrame, best_only: bool) -> DataFrame:
     """Likely pairs (a, b) of one leaf that aren't connected yet, from exhaustive comparison within the leaf.
 
-    In a leaf beyond BLOCK texts, those outside its commonest part are dealt as queries to blocks of the leaf's texts.
+    best_only: for each text only its most similar one outside its component. In a leaf beyond BLOCK texts, those
+    outside its smallest component are dealt as queries to blocks of the leaf's texts.
     """
-    named = shared.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if components is None:
+        named = shared.withColumn("component", F.col("rep"))
+    else:
+        named = shared.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = stored(named, "named")
-    mixed_leaves = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    mixed_leaves = stored(mixed_leaves.filter("low < high"), "mixed_leaves")
-    rows = named.join(mixed_leaves.select("node", "low", "n"), "node").join(sketches, "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
-    # The leaf's smallest component is compared only with the rest, never within itself.
-    targets = rows.withColumn("row_cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "rep", "component", "sketch", F.col("row_cell").alias("query_cell"), F.col("block").alias("target_cell"), F.lit(False).alias("asks"))
-    queries = rows.filter(F.col("component") != F.col("low")).withColumn("row_cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "rep", "component", "sketch", F.col("block").alias("query_cell"), F.col("row_cell").alias("target_cell"), F.lit(True).alias("asks"))
+    open_leaves = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    open_leaves = stored(open_leaves.filter("low < high"), "open_leaves")
+    rows = named.join(open_leaves.select("node", "low", "n"), "node").join(sketches, "rep")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = ["node", "rep", "component", "sketch"]
+    targets = rows.select(*own, every_block.alias("query_cell"), F.col("block").alias("target_cell"), F.lit(False).alias("asks"))
+    # At first every text asks; later the leaf's smallest component is compared only with the rest, never within itself.
+    asking = rows if components is None else rows.filter(F.col("component") != F.col("low"))
+    queries = asking.select(*own, F.col("block").alias("query_cell"), every_block.alias("target_cell"), F.lit(True).alias("asks"))
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, TOKENS)
         asks = group["asks"].to_numpy()
         reps, parts = group["rep"].to_numpy(), group["component"].to_numpy()
-        agree = _agreement(sketch[asks], sketch[~asks]) >= LEAST_ESTIMATE
-        agree &= parts[asks][:, None] != parts[~asks][None, :]
-        i, j = np.nonzero(agree)
+        agree = _agreement(sketch[asks], sketch[~asks])
+        agree[parts[asks][:, None] == parts[~asks][None, :]] = -1
+        if best_only:
+            i = np.arange(len(agree))
+            j = agree.argmax(axis=1)
+            likely = agree[i, j] >= LEAST_ESTIMATE
+            i, j = i[likely], j[likely]
+        else:
+            i, j = np.nonzero(agree >= LEAST_ESTIMATE)
         a, b = reps[asks][i], reps[~asks][j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -232,6 +231,7 @@ def _across(shared: DataFrame, components: DataFrame, sketches: DataFrame) -> Da
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over confirmed links) and kept, for every row."""
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs), "signed")
     known = signed.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     firsts = known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("tokens").alias("tokens"))
@@ -246,19 +246,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = stored(leaves(reps), "leaves")
     members = shared.select("rep").distinct()
     sketches = stored(reps.join(members, "rep", "left_semi").mapInArrow(short, "rep long, sketch binary"), "sketches")
-    stars = shared.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stored(_likely(stars, sketches), "stars")
-    links = _confirmed(docs, stars, percent)
     # A class of equal sets has its smallest doc_id as its rep; a repeated doc_id in several classes links them.
     copies = known.join(firsts.filter("copies > 1").select("print", "rep"), "print").filter("doc_id != rep")
     copies = stored(copies.select(F.col("doc_id").alias("node"), "rep").distinct(), "copies")
     several = copies.groupBy("node").count().filter("count > 1").select("node").unionByName(firsts.select(F.col("rep").alias("node")))
-    links = stored(links.unionByName(copies.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b"))), "links")
-    components = stored(connected_components(links), "star_components")
-    more = stored(_across(shared.filter("size > 0").select("node", "rep"), components, sketches).join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(docs, more, percent))
-        components = stored(connected_components(links), "components")
+    links = stored(copies.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links")
+    components = tested = sets = None
+    for step in range(PROPOSALS + 1):
+        pairs = stored(_across(shared, components, sketches, best_only=step < PROPOSALS), f"pairs{step}")
+        if tested is not None:
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"new_pairs{step}")
+        if step and pairs.isEmpty():
+            if step < PROPOSALS:
+                continue
+            break
+        if sets is None:
+            # Every text with a likely partner has proposed one in the first round.
+            sets = _full_sets(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"))
+        links = links.unionByName(stored(_confirmed(sets, pairs, percent), f"links{step}"))
+        components = stored(connected_components(links), f"components{step}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
     of_copies = copies.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     membership = components.unionByName(of_copies).groupBy("node").agg(F.min("component").alias("component"))
     membership = stored(membership, "membership")
