@@ -25,12 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, broadcast_if_small, mixed, run_hashes, shingle_hashes, small_batches, stored, text_chunks, word_spans
+from .common import LOWER, WHITE, broadcast_if_small, mixed, parts, run_hashes, shingle_hashes, small_batches, stored, text_chunks, word_spans
 from .components import connected_components
 
 TOKENS = 128
@@ -210,12 +209,9 @@ def _across(shared: DataFrame, components: DataFrame | None, sketches: DataFrame
     asking = rows if components is None else rows.filter(F.col("component") != F.col("low"))
     queries = asking.select(*own, F.col("block").alias("query_cell"), every_block.alias("target_cell"), F.lit(True).alias("asks"))
 
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, TOKENS)
-        asks = group["asks"].to_numpy()
-        reps, parts = group["rep"].to_numpy(), group["component"].to_numpy()
+    def compared(sketch: np.ndarray, asks: np.ndarray, members: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         agree = _agreement(sketch[asks], sketch[~asks])
-        agree[parts[asks][:, None] == parts[~asks][None, :]] = -1
+        agree[of[asks][:, None] == of[~asks][None, :]] = -1
         if best_only:
             i = np.arange(len(agree))
             j = agree.argmax(axis=1)
@@ -223,10 +219,43 @@ def _across(shared: DataFrame, components: DataFrame | None, sketches: DataFrame
             i, j = i[likely], j[likely]
         else:
             i, j = np.nonzero(agree >= LEAST_ESTIMATE)
-        a, b = reps[asks][i], reps[~asks][j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return targets.unionByName(queries).groupBy("node", "query_cell", "target_cell").applyInPandas(compared, "a long, b long").distinct()
+        return members[asks][i], members[~asks][j]
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One cell after the other; the last one of a batch waits for its remaining rows."""
+        waiting = None
+        for batch in _and_last(batches):
+            if batch is not None:
+                waiting = batch if waiting is None else pa.concat_batches([waiting, batch])
+            if waiting is None or not waiting.num_rows:
+                continue
+            keys = np.stack([waiting.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 4, 5)])
+            edges = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))).tolist()
+            edges.append(waiting.num_rows)
+            done = len(edges) - (1 if batch is None else 2)
+            sketch = np.frombuffer(b"".join(waiting.column(3).to_pylist()), dtype=np.uint8).reshape(-1, TOKENS)
+            members, of = (waiting.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            asks = waiting.column(6).to_numpy(zero_copy_only=False)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for start, end in zip(edges[:done], edges[1 : done + 1]):
+                own = slice(start, end)
+                if asks[own].any() and not asks[own].all():
+                    found.append(compared(sketch[own], asks[own], members[own], of[own]))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            waiting = waiting.slice(edges[done])
+
+    every = targets.unionByName(queries).select("node", "rep", "component", "sketch", "query_cell", "target_cell", "asks")
+    at = ["node", "query_cell", "target_cell"]
+    dealt = every.repartition(parts(every.sparkSession), *at).sortWithinPartitions(*at)
+    return dealt.mapInArrow(cells, "a long, b long").distinct()
+
+
+def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
