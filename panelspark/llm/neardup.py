@@ -292,8 +292,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if sets is None:
             # Every text with a likely partner has proposed one in the first round.
             sets = _full_sets(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"))
-        links = links.unionByName(stored(_confirmed(sets, pairs, percent), f"links{step}"))
-        components = stored(connected_components(links), f"components{step}")
+        # The components found so far stand for their links: each is a star around its smallest text already.
+        known_links = links if components is None else components.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        components = stored(connected_components(known_links.unionByName(stored(_confirmed(sets, pairs, percent), f"links{step}"))), f"components{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)
     of_copies = copies.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     membership = components.unionByName(of_copies).groupBy("node").agg(F.min("component").alias("component"))
