@@ -12,6 +12,7 @@ table to predict gives no rows.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from .common import LOWER, text_chunks
 
 DIMS = 4096
-#: The model is fitted on the driver on at most this many texts of each language (and SAMPLE in all), those of least hash.
+#: The model is fitted on the driver on at most this many distinct texts of each language (and SAMPLE in all), those of least hash.
 SAMPLE_PER_LANG = 800
 SAMPLE = 8000
 #: Languages beyond this number raise ValueError: the model is broadcast to every task.
@@ -87,16 +88,17 @@ class LanguageModel:
 def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS, seed: int = 1) -> LanguageModel:
     """Fit on (text, lang) rows with both present; per_lang bounds what the driver collects."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    keyed = rows.select("lang", F.xxhash64("text", F.lit(seed)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    # Copies of a text have one hash: each distinct text of a language counts once, and only once can it be chosen.
+    distinct = rows.select("lang", F.xxhash64("text", F.lit(seed)).alias("h")).distinct()
+    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if not counts or len(counts) > MOST_LANGS:
         raise ValueError(f"expected 1 to {MOST_LANGS} languages, got {len(counts)}")
     per_lang = max(1, min(per_lang, SAMPLE // len(counts)))
-    # Up to twice the rows wanted are let through by hash, so that only about that many vectors are collected.
+    # Up to twice the texts wanted are let through by hash, so that only about that many vectors are sent.
     share = F.lit(None)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max(2 * per_lang, 20) / n))).otherwise(share)
-    chosen = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).filter(F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = rows.withColumn("h", F.xxhash64("text", F.lit(seed))).filter(F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["lang", "h"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +106,13 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int = C
                 own = [x.tobytes() for x in vectors(raw, offsets).astype(np.float16)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(own)) for k in (0, 1)), pa.array(own, type=pa.binary())], names=["lang", "h", "v"])
 
+    # The per_lang texts of least hash of each language, as heaps with the largest of them first.
     texts: dict[str, list[tuple[int, bytes]]] = {}
     for r in chosen.select("lang", "h", "text").mapInArrow(counted, "lang string, h long, v binary").toLocalIterator():
-        texts.setdefault(r["lang"], []).append((r["h"], bytes(r["v"])))
+        held = texts.setdefault(r["lang"], [])
+        (heapq.heappush if len(held) < per_lang else heapq.heappushpop)(held, (-r["h"], bytes(r["v"])))
     names = sorted(texts)
-    blocks = [np.stack([np.frombuffer(v, dtype=np.float16).astype(np.float32) for _, v in sorted(texts[lang])[:per_lang]]) for lang in names]
+    blocks = [np.stack([np.frombuffer(v, dtype=np.float16).astype(np.float32) for _, v in sorted(texts[lang], reverse=True)]) for lang in names]
     every = np.concatenate(blocks)
     idf = np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
     rng = np.random.default_rng(seed)

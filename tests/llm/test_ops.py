@@ -94,6 +94,15 @@ def test_language_id(docs, none):
         langid.fit(none)
 
 
+def test_copies_do_not_fill_the_language_sample(spark):
+    rng = np.random.default_rng(3)
+    texts = [(" ".join(f"{lang}{rng.integers(300)}" for _ in range(40)), lang) for lang in ("en", "de") for _ in range(12)]
+    once = spark.createDataFrame(texts, "text string, lang string")
+    copied = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(30)))).repartition(5)
+    want, got = (langid.fit(rows, per_lang=50) for rows in (once, copied))
+    assert np.allclose(got.idf, want.idf) and np.allclose(got.centroids, want.centroids) and np.allclose(got.least, want.least)
+
+
 def test_maglev(spark, docs, none):
     names = [f"s{k}" for k in range(7)]
     table = maglev.lookup_table(names, 1009)
