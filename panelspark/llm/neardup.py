@@ -149,6 +149,11 @@ def leaves(reps: DataFrame, extra_rounds: int = 2) -> DataFrame:
     raise AssertionError
 
 
+def _bytes(tokens: np.ndarray) -> np.ndarray:
+    """One byte of each token, from all of its bits: a minimum over many shingles is small, its own top byte mostly 0."""
+    return (mixed(tokens.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+
+
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of each row of a with each row of b, from one-byte tokens."""
     same = np.empty((len(a), len(b)), dtype=np.float32)
@@ -273,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
             tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in (tokens >> np.uint32(24)).astype(np.uint8)], type=pa.binary())], names=["rep", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _bytes(tokens)], type=pa.binary())], names=["rep", "sketch"])
 
     shared = stored(leaves(reps), "leaves")
     members = shared.select("rep").distinct()

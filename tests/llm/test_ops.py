@@ -223,6 +223,18 @@ def test_isolated_pairs_meet_below_wide_nodes(spark, monkeypatch):
     assert missed <= 6  # about 1 expected; with 10 trees and 1.4 selections at every level about 23
 
 
+def test_sketches_of_long_texts_tell_them_apart():
+    rng = np.random.default_rng(4)
+    for n in (100, 500, 2000):
+        common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        own = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2)]
+        cut = 6 * n // 7  # 6 of 8 shingles in common: 0.75
+        near = [np.concatenate((common[:cut], x[: n - cut])) for x in own]
+        sketch = neardup._bytes(neardup._minwise([*own, *near]))
+        agree = neardup._agreement(sketch, sketch)
+        assert agree[0, 1] < 0.1 and abs(agree[2, 3] - 0.75) < 0.15
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = dict(map(tuple, connected_components(edges).collect()))
