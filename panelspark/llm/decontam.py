@@ -95,21 +95,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lists: in
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 8) -> DataFrame:
     """(doc_id, item_id, first, last): places that hold all distinct words of an item within its length plus slack.
 
-    The same postings serve it: from each posting of the item's rarest term, each other term must occur within reach.
+    The same postings serve it. Those of an item's terms within reach of a posting of its rarest term are taken in
+    order of position; where each one ends a window, the latest place of every other term so far gives the shortest
+    window, so no window is lost. Every place between first and last that ends such a window has its own row.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = stored(items.select("item_id", (F.size("words") + slack).alias("reach"), F.array_distinct("words").alias("terms")), "items")
+    items = stored(items.select(F.monotonically_increasing_id().alias("item"), "item_id", (F.size("words") + slack).alias("reach"), F.array_distinct("words").alias("terms")), "items")
     terms = stored(items.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.xxhash64("word")), "terms")
-    index = stored(postings(docs, terms, terms.count()), "postings")
+    # Rows of one doc_id are told apart by their text; equal rows have the same places.
+    index = stored(postings(docs, terms, terms.count()).distinct(), "postings")
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    each = items.select("item_id", "reach", F.size("terms").alias("k"), F.explode("terms").alias("word")).withColumn("term", F.xxhash64("word"))
-    each = stored(each.join(frequency, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("df").asc_nulls_first(), "term"))), "ranked")
-    anchors = index.join(each.filter("rank = 1").select("term", "item_id", "reach", "k"), "term").select("doc_id", "tie", "item_id", "reach", "k", F.col("pos").alias("anchor"))
-    others = index.join(each.select("term", "item_id"), "term").select("doc_id", "tie", "item_id", "term", "pos")
-    # One row for each anchor and other term: the places nearest to the anchor on either side.
-    close = anchors.join(others, ["doc_id", "tie", "item_id"]).filter(F.abs(F.col("pos") - F.col("anchor")) < F.col("reach"))
-    nearest = close.groupBy("doc_id", "tie", "item_id", "anchor", "reach", "k", "term").agg(F.min_by("pos", F.abs(F.col("pos") - F.col("anchor"))).alias("pos"))
-    spans = nearest.groupBy("doc_id", "tie", "item_id", "anchor", "reach", "k").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    each = items.select("item", "item_id", "reach", F.size("terms").alias("k"), F.explode("terms").alias("word")).withColumn("term", F.xxhash64("word"))
+    each = stored(each.join(frequency, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.col("df").asc_nulls_first(), "term"))), "ranked")
+    anchors = index.join(each.filter("rank = 1").select("term", "item", "reach"), "term").select("doc_id", "tie", "item", "reach", F.col("pos").alias("anchor"))
+    others = index.join(each.select("term", "item", "item_id", "k"), "term").select("doc_id", "tie", "item", "item_id", "k", "term", "pos")
+    a, o = anchors.alias("a"), others.alias("o")
+    near = F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.tie") == F.col("a.tie")) & (F.col("o.item") == F.col("a.item")) & (F.abs(F.col("o.pos") - F.col("a.anchor")) < F.col("a.reach"))
+    close = o.join(a, near).select("o.doc_id", "o.tie", "o.item", "o.item_id", "o.k", "o.term", "o.pos", "a.anchor", "a.reach")
+    # For each end of a window at or after the anchor: the latest place of each term up to it.
+    anchor = ["doc_id", "tie", "item", "item_id", "k", "reach", "anchor"]
+    ends = close.filter("pos >= anchor").select(*anchor, F.col("pos").alias("last"))
+    same = F.lit(True)
+    for c in ("doc_id", "tie", "item", "anchor"):
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}"))
+    so_far = ends.alias("e").join(close.alias("c"), same & (F.col("c.pos") <= F.col("e.last")) & (F.col("c.pos") > F.col("e.last") - F.col("e.reach")))
+    latest = so_far.groupBy(*(F.col(f"e.{c}").alias(c) for c in anchor), F.col("e.last").alias("last"), F.col("c.term").alias("term")).agg(F.max("c.pos").alias("pos"))
+    spans = latest.groupBy(*anchor, "last").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     return spans.filter((F.col("n") == F.col("k")) & (F.col("last") - F.col("first") < F.col("reach"))).select("doc_id", "item_id", "first", "last").distinct()
 
 

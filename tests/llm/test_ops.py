@@ -189,6 +189,28 @@ def test_decontamination(spark, docs, none):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.proximity(docs, benchmark.filter("item_id in (1, 2)")).collect()} >= {(1, "1"), (7, "2")}
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    spread = ["x"] * 120
+    spread[95], spread[100], spread[106], spread[109] = "a", "r", "a", "b"
+    texts = [(1, " ".join(spread)), (None, "q r a b"), (2, None)]
+    texts += [(k, " ".join(rng.choice(["a", "b", "r", *"uvwxyz"], 150, p=[0.1, 0.06, 0.03] + [0.135] * 6))) for k in range(3, 9)]
+    texts += [texts[-1], (8, "r b a")]
+    items = [(1, "r a b"), (2, "a a b"), (3, "r"), (4, "a missing")]
+    want = set()
+    for doc_id, text in texts:
+        words = brute.words(text)
+        for item, t in items:
+            own, reach = set(brute.words(t)), len(brute.words(t)) + 8
+            for last in range(len(words)):
+                places = [max((p for p in range(last + 1) if words[p] == w), default=-1) for w in own]
+                if words[last] in own and min(places) >= 0 and last - min(places) < reach:
+                    want.add((doc_id, str(item), min(places), last))
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontam.proximity(docs, benchmark).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(1, "1", 100, 109), (None, "1", 1, 3)} <= want
+
+
 def test_near_duplicates(spark, docs, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()), key=lambda r: (r[0] is None, r[0] or 0))
     want = brute.near_duplicates([(r[0], r[1]) for r in ROWS if r[0] is not None])
