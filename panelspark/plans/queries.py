@@ -145,6 +145,23 @@ def cumulate_first(spark, sf_dir):
     return rounded(transform.cumulate(df, "r", "first", "ts", "user_id", replace=True), "r", digits=6).drop("ts")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, ts, value / 1e6 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS p FROM events),
+w AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE 1 + (p > 2)::INT + (p > 5)::INT END AS win FROM e)
+SELECT event_id, user_id, round(r, 6) AS r, round(product(1 + r) OVER (PARTITION BY user_id, win ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1, 6) AS cum_r FROM w""")
+def cumulate_between_all_events(spark, sf_dir):
+    """cumulate_between without its bound on events; values in millionths keep the products near one."""
+    df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") / 1e6).alias("r"))
+    return rounded(transform.cumulate(df, "r", "between", "ts", "user_id", [1, 3, 6], grossify=True), "r", "cum_r", digits=6).drop("ts")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, 1 + value / 1e6 AS r FROM events)
+SELECT event_id, user_id, round(product(r) OVER (PARTITION BY user_id, ts = (SELECT min(ts) FROM events) ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS r FROM e""")
+def cumulate_first_all_events(spark, sf_dir):
+    """cumulate_first without its bound on events."""
+    df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (1 + F.col("value") / 1e6).alias("r"))
+    return rounded(transform.cumulate(df, "r", "first", "ts", "user_id", replace=True), "r", digits=6).drop("ts")
+
+
 PORT = """WITH c AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS x, list_transform([0.2, 0.4, 0.6, 0.8], lambda q: 0.0) AS z,
 [quantile_cont(o_totalprice, 0.2) OVER w, quantile_cont(o_totalprice, 0.4) OVER w, quantile_cont(o_totalprice, 0.6) OVER w, quantile_cont(o_totalprice, 0.8) OVER w] AS cuts FROM orders WINDOW w AS ({w}))
 SELECT o_orderkey, o_orderpriority, CAST(1 + len(list_filter(cuts, lambda v: x {op} v)) AS INTEGER) AS portfolio FROM c"""
