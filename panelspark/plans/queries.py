@@ -222,6 +222,16 @@ def long_to_wide(spark, sf_dir):
     return transform.long_to_wide(df, "o_custkey", "spent", "o_orderpriority", columns=["1-URGENT", "5-LOW"])
 
 
+ALL_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("SELECT o_custkey, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 4) AS \"spent{p}\"" for p in ALL_PRIORITIES) + " FROM orders GROUP BY 1")
+def long_to_wide_all_priorities(spark, sf_dir):
+    """long_to_wide over all orders."""
+    df = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 4).alias("spent"))
+    return transform.long_to_wide(df, "o_custkey", "spent", "o_orderpriority", columns=ALL_PRIORITIES)
+
+
 HOLES = "WITH h AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events)\n"
 
 
@@ -318,6 +328,20 @@ def expand_months_trading_days(spark, sf_dir):
     return dates.expand_months(days, "day")
 
 
+@query(OPEN + """, e AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events), a AS (SELECT e.day, max(o.n) AS n0, max(o.day) = e.day AS is_open FROM (SELECT DISTINCT day FROM e) e JOIN o ON o.day <= e.day GROUP BY e.day)
+SELECT e.event_id, e.day, CAST(s AS INTEGER) AS "Shift", CAST(o.day AS TIMESTAMP) AS "Shift Date" FROM e JOIN a USING (day), (SELECT unnest([-2, -1, 0, 1, 2]) AS s) JOIN o ON o.n = n0 + s + CASE WHEN s > 0 OR is_open THEN 0 ELSE 1 END""")
+def expand_time_all_events(spark, sf_dir):
+    """expand_time_trading_days for every event."""
+    days = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    return dates.expand_time(days, True, "day", "d", [-2, 2])
+
+
+@query(OPEN + """SELECT event_id, CAST(ts AS DATE) AS day, CAST(o.day AS TIMESTAMP) AS "Daily Date" FROM events JOIN o ON date_trunc('month', o.day) = date_trunc('month', ts)""")
+def expand_months_all_events(spark, sf_dir):
+    """expand_months_trading_days for every event."""
+    return dates.expand_months(read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day")), "day")
+
+
 @query("SELECT o_orderkey, TIMESTAMP '1960-01-01' + to_days(CAST(o_orderkey % 20000 AS INTEGER)) AS d FROM orders")
 def sas_dates(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.convert_sas_date(F.col("o_orderkey") % 20000).cast("timestamp_ntz").alias("d"))

@@ -35,3 +35,15 @@ def test_every_event_is_cumulated(spark, database, name):
     assert got.columns == want.columns and same_rows(got.collect(), want.fetchall())
     ids = database.sql("SELECT event_id FROM events ORDER BY 1").fetchall()
     assert got.select("event_id").orderBy("event_id").collect() == ids
+
+
+@pytest.mark.parametrize("name, key, table", [("expand_time_all_events", "event_id", "events"), ("expand_months_all_events", "event_id", "events"), ("long_to_wide_all_priorities", "o_custkey", "orders")])
+def test_every_row_is_expanded_or_pivoted(spark, database, name, key, table):
+    got = queries.QUERIES[name](spark, SF)
+    want = database.sql(queries.SQL[name])
+    assert got.columns == want.columns and same_rows(got.collect(), want.fetchall())
+    assert got.select(key).distinct().orderBy(key).collect() == database.sql(f"SELECT DISTINCT {key} FROM {table} ORDER BY 1").fetchall()
+
+
+def test_all_priorities_are_pivoted(database):
+    assert [r[0] for r in database.sql("SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1").fetchall()] == list(queries.ALL_PRIORITIES)
