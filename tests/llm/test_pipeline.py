@@ -5,6 +5,8 @@ import pytest
 from panelspark.llm import queries
 from panelspark.llm.common import stored
 
+from . import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -42,3 +44,19 @@ def test_every_query_has_the_contracted_columns(spark):
         want = first.get(name.split("_")[0])
         if want:
             assert query(spark, SF).columns[: len(want)] == want
+
+
+def test_near_dedup_and_decontamination_keep_what_plain_versions_keep(spark, steps):
+    rows = [(r.doc_id, r.text) for r in steps[2].select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in steps[3].collect()) == sorted({i for i, (_, c) in brute.near_duplicates(rows).items() if i == c})
+    runs = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        own = brute.words(r.text)
+        runs |= {tuple(own[k : k + 13]) for k in range(max(1, len(own) - 12)) if own}
+    kept = []
+    for r in steps[3].collect():
+        words = brute.words(r.text)
+        hit = {p for n in {len(x) for x in runs} for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in runs for p in range(k, k + n)}
+        if not hit or 20 * len(hit) < len(words):
+            kept.append(r.doc_id)
+    assert sorted(r.doc_id for r in steps[4].collect()) == sorted(kept)
