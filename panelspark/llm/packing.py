@@ -5,8 +5,10 @@ lower bound on the bins that any packing of the partition needs. A partition tha
 up the documents of its open bins; those of several such partitions are exchanged, dealt anew and packed again by
 best-fit decreasing, as long as that saves bins.
 
-Defined cases: a null or empty text is one piece with only the end id; rows that repeat a doc_id are packed each by
-itself; a null doc_id stays null; columns other than doc_id and text are ignored; an empty table gives no rows.
+Defined cases: a null or empty text is one piece with only the end id; a very long text is cut into full pieces and
+one shorter first piece; rows that repeat a doc_id are packed each by itself; pieces of equal length are taken in the
+order of their rows, and of equally full bins the one opened or filled last takes a piece; a null doc_id stays null;
+columns other than doc_id and text are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,42 +22,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .tokens import encoder
 
-PIECE_SCHEMA = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-#: row_key: the task, then 24 bits for the rows of a task; a full piece's sequence_id adds 20 bits for the piece.
-ROW_BITS, PIECE_BITS = 24, 20
+#: piece_key: the task, then 33 bits for the pieces of a task.
+PIECE_SCHEMA = "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+KEY_BITS = 33
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """Pieces of every whole text: all but the first have `capacity` ids, so at most one piece of a text is open.
 
-    row_key tells repeated ids apart. keep_ids adds the ids as little-endian unsigned 32-bit integers.
+    piece_key tells pieces of repeated ids apart. keep_ids adds the ids as little-endian unsigned 32-bit integers.
     """
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = encoder(tokenizer_path, True)
-        task = TaskContext.get().partitionId()
-        serial = task << ROW_BITS
+        own = encoder(tokenizer_path)
+        serial = TaskContext.get().partitionId() << KEY_BITS
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                out: list[list] = [[], [], [], [], [], [], []]
-                for doc_id, packed in zip(rows.column(0).to_pylist(), own.encode(rows.column(1).to_pylist())):
-                    ids = np.frombuffer(packed, dtype=own.kind).astype("<u4")
-                    raw = ids.tobytes() + end_id.to_bytes(4, "little")
-                    n = len(ids) + 1
-                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-                        own_bytes = raw[4 * a : 4 * b]
-                        for column, value in zip(out, (serial, doc_id, piece, a, b - a, zlib.crc32(own_bytes), own_bytes if keep_ids else None)):
-                            column.append(value)
-                    serial += 1
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(out, kinds)], names=["row_key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            for first, ids, edges in own.encode(batch.column(1)):
+                n = len(edges) - 1
+                sizes = np.diff(edges) + 1
+                with_end = np.full(int(sizes.sum()), end_id, dtype="<u4")
+                ends = np.cumsum(sizes)
+                inside = np.ones(len(with_end), dtype=bool)
+                inside[ends - 1] = False
+                with_end[inside] = ids
+                pieces = -(-sizes // capacity)
+                rows = np.repeat(np.arange(n), pieces)
+                piece = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = sizes - (pieces - 1) * capacity
+                start = np.where(piece == 0, 0, head[rows] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[rows], capacity)
+                at = (ends - sizes)[rows] + start
+                raw = memoryview(with_end).cast("B")
+                spans = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist())]
+                columns = [
+                    pa.array(serial + np.arange(len(rows))),
+                    batch.column(0).slice(first, n).take(pa.array(rows)),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array([zlib.crc32(x) for x in spans], type=pa.int64()),
+                    pa.array([bytes(x) for x in spans] if keep_ids else [None] * len(rows), type=pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["piece_key", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                serial += len(rows)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = rows.mapInArrow(cut, PIECE_SCHEMA)
@@ -115,20 +130,20 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 20_000, r
     """
     spark = pieces.sparkSession
     pieces = stored(pieces, "pieces")
-    alone = -1 - (F.shiftleft("row_key", PIECE_BITS) + F.col("piece"))
+    alone = -1 - F.col("piece_key")
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": alone, "offset": F.lit(0).cast("long")})
     left = pieces.filter(F.col("length") < capacity)
-    spread = ["row_key", "piece", "length"]
+    spread = ["piece_key", "length"]
 
     def packed(salt: int, count: int, source: DataFrame) -> DataFrame:
         def one(group: pd.DataFrame) -> pd.DataFrame:
             lengths = group["length"].to_numpy()
             bins, offsets, n = best_fit_decreasing(lengths, capacity)
             used = np.bincount(bins, weights=lengths, minlength=n)[bins]
-            return pd.DataFrame({"row_key": group["row_key"], "piece": group["piece"], "length": lengths, "cell": group["cell"], "bin": bins, "offset": offsets, "used": used.astype(np.int64), "gap": n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)})
+            return pd.DataFrame({"piece_key": group["piece_key"], "length": lengths, "cell": group["cell"], "bin": bins, "offset": offsets, "used": used.astype(np.int64), "gap": n - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)})
 
-        cell = F.pmod(F.xxhash64("row_key", F.lit(salt)), F.lit(count)).cast("int")
-        return source.select(*spread).withColumn("cell", cell).groupBy("cell").applyInPandas(one, "row_key long, piece int, length long, cell int, bin long, offset long, used long, gap long")
+        cell = F.pmod(F.xxhash64("piece_key", F.lit(salt)), F.lit(count)).cast("int")
+        return source.select(*spread).withColumn("cell", cell).groupBy("cell").applyInPandas(one, "piece_key long, length long, cell int, bin long, offset long, used long, gap long")
 
     placed: list[DataFrame] = []
     previous = None
@@ -156,14 +171,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 20_000, r
         n_bins = open_rows.agg(F.count_distinct("sequence_id")).first()[0]
         previous = (result, n_bins)
         left = open_rows
-    columns = ["row_key", "piece", "sequence_id", "offset"]
+    columns = ["piece_key", "sequence_id", "offset"]
     chosen = None
     for part in placed:
         chosen = part.select(*columns) if chosen is None else chosen.unionByName(part.select(*columns))
     output = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     if chosen is None:
         return full.select(*output)
-    open_pieces = pieces.filter(F.col("length") < capacity).join(chosen, ["row_key", "piece"])
+    open_pieces = pieces.filter(F.col("length") < capacity).join(chosen, "piece_key")
     return full.select(*output).unionByName(open_pieces.select(*output))
 
 

@@ -1,127 +1,177 @@
-"""Whole-text encoding by the tokenizers library, with a bounded memory of the pieces seen before."""
+"""Whole-text encoding by the tokenizers library, each distinct piece of a run of texts once."""
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
-
-#: One blank between two characters that aren't white space: no pre-token of either vocabulary crosses it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
-#: Letters, then marks of one pre-token (no apostrophe: it may begin a contraction; no "<": it may begin a special token).
-_SHAPE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?|()]*)\Z")
-#: How the byte-level vocabulary spells a blank.
-_BLANK = "Ġ"
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
+
+from .common import text_chunks
+
+_GLUE, _LETTER, _DIGIT, _MARK, _WHITE, _OTHER, _FOLLOWS = range(7)
+
+#: What a byte belongs to. Texts are never cut beside glue: the apostrophe (it may begin a contraction), control bytes,
+#: and characters of the lead bytes among which there is white space.
+_KIND = np.full(256, _GLUE, dtype=np.uint8)
+_KIND[np.r_[65:91, 97:123, 0xC3:0xC6]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[np.r_[33:39, 40:48, 58:65, 91:97, 123:127]] = _MARK
+_KIND[[9, 10, 13, 32]] = _WHITE
+_KIND[0xC6:0xF5] = _OTHER
+_KIND[[0xE1, 0xE2, 0xE3]] = _GLUE
+_KIND[0x80:0xC0] = _FOLLOWS
+
+_SOLID = np.zeros(7, dtype=bool)
+_SOLID[[_LETTER, _DIGIT, _MARK, _OTHER]] = True
+
+#: How byte-level vocabularies spell the characters of two bytes that are letters here.
+_SPELLED = {c: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
+
+
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character."""
+    kind = _KIND[raw]
+    two = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC4))
+    if len(two):
+        # The signs of multiplication and division are no letters; the dotted capital I becomes two characters in lower case.
+        two = two[two + 1 < len(raw)]
+        after = raw[two + 1]
+        odd = np.where(raw[two] == 0xC3, (after == 0x97) | (after == 0xB7), after == 0xB0)
+        kind[two[odd]] = _GLUE
+    for _ in range(3):
+        follows = np.flatnonzero(kind == _FOLLOWS)
+        if not len(follows):
+            break
+        kind[follows] = kind[np.maximum(follows - 1, 0)]
+    return kind
+
+
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin, and the end: the texts' ends, and places that no pre-token of either vocabulary crosses.
+
+    Both vocabularies split texts into runs of letters, digits or marks before they merge. So a text may be cut between
+    two such runs, and before a single white byte that stands between characters which aren't white: the byte-level
+    vocabulary joins a blank to what follows, the word-level one drops it. Contractions are left whole, and so is any
+    text that might hold a special token.
+    """
+    n = len(raw)
+    kind = _kinds(raw)
+    solid = _SOLID[kind]
+    cut = np.zeros(n + 1, dtype=bool)
+    if n > 1:
+        run = solid & (kind != _OTHER)
+        cut[1:n] = run[:-1] & run[1:] & (kind[:-1] != kind[1:])
+        white = np.flatnonzero(kind == _WHITE)
+        white = white[(white > 0) & (white < n - 1)]
+        cut[white[solid[white - 1] & solid[white + 1]]] = True
+        special = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+        for text in np.unique(np.searchsorted(offsets, special, side="right") - 1).tolist():
+            cut[offsets[text] : offsets[text + 1]] = False
+        # A white byte at the edge of a text isn't between two characters of it.
+        edge = offsets[(offsets > 0) & (offsets < n)]
+        edge = edge[kind[edge - 1] == _WHITE] - 1
+        cut[edge] = False
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece, a piece being what lies between single blanks.
+    """Encodes whole texts as their pieces' ids one after the other; equal pieces are encoded once for a run of texts.
 
-    Both vocabularies split texts before they merge: the byte-level one joins a single blank to what follows, the
-    word-level one drops it. So the ids of a text are its pieces' ids one after the other, and a piece that was seen
-    before needn't be merged again. `most` bounds the pieces remembered; beyond it new pieces are encoded each time.
-    Ids of both vocabularies are below 65,536 and are kept in two bytes.
+    Pieces that occur twice in a run are remembered for later runs, `most` of them at most; beyond it they are encoded
+    once in each run. A piece of letters goes to the tokenizer's own model, any other to the whole tokenizer.
     """
 
-    def __init__(self, path: str, blank_joins: bool, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 65_536
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.blank_joins = blank_joins
-        self.most = most
-        self.first: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.later = {} if blank_joins else self.first
         self.model = self.tokenizer.model
-        self.pre = self.tokenizer.pre_tokenizer
-        self.normalizer = self.tokenizer.normalizer
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array("I" if self.wide else "H", ids).tobytes()
-
-    def _merged(self, text: str) -> bytes:
-        """The ids of one pre-token of letters, by the tokenizer's own model."""
-        if self.normalizer is not None:
-            text = self.normalizer.normalize_str(text)
-        if text.isascii():
-            return self._packed([token.id for token in self.model.tokenize(text.replace(" ", _BLANK))])
-        return self._packed([token.id for part, _ in self.pre.pre_tokenize_str(text) for token in self.model.tokenize(part)])
-
-    def _learn(self, pieces: set[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
-        """Ids of pieces that aren't known; remembers them while there is room."""
-        fresh: dict[str, bytes] = {}
-        other = []
-        for piece in pieces:
-            shape = _SHAPE.match(piece) if len(piece) <= 64 else None
-            if shape is None:
-                other.append(piece)
-                continue
-            letters, marks = shape.groups()
-            ids = known.get(letters) or fresh.get(letters)
-            if ids is None:
-                ids = fresh[letters] = self._merged(prefix + letters)
-            if marks:
-                after = self.marks.get(marks)
-                if after is None:
-                    after = self._packed(self.tokenizer.encode(marks, add_special_tokens=False).ids)
-                    if len(self.marks) < 10_000:
-                        self.marks[marks] = after
-                fresh[piece] = ids + after
-        for piece, found in zip(other, self.tokenizer.encode_batch_fast([prefix + x for x in other], add_special_tokens=False)):
-            fresh[piece] = self._packed(found.ids)
-        for piece, ids in fresh.items():
-            if len(known) >= self.most:
-                break
-            if len(piece) <= 64:
-                known[piece] = ids
-        return fresh
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each whole text as packed integers of `kind` (null: no ids)."""
-        first, later = self.first, self.later
-        found: list[tuple[list[str], list[bytes | None]] | None] = []
-        misses_first: set[str] = set()
-        misses_later: set[str] = set()
-        for text in texts:
-            if not text:
-                found.append(None)
-                continue
-            pieces = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            ids = list(map(later.get, pieces))
-            if self.blank_joins:
-                ids[0] = first.get(pieces[0])
-                if ids[0] is None:
-                    misses_first.add(pieces[0])
-            if None in ids:
-                misses_later.update(p for p, x in zip(pieces[self.blank_joins :], ids[self.blank_joins :]) if x is None)
-            found.append((pieces, ids))
-        fresh_first = self._learn(misses_first, first, "") if misses_first else {}
-        fresh_later = self._learn(misses_later, later, " " if self.blank_joins else "") if misses_later else {}
-        out = []
-        for entry in found:
-            if entry is None:
-                out.append(b"")
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        #: The byte-level vocabulary spells a blank before a word; the word-level one has ends of words instead.
+        self.blank = "" if self.model.end_of_word_suffix else "Ġ"
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 65_536 else "<u2")
+        self.most = most
+        self.known = pa.array([], type=pa.binary())
+        self.known_sizes = np.zeros(0, dtype=np.int64)
+        self.known_ids = np.zeros(0, dtype=self.kind)
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """The ids of pieces of letters with at most a blank before them."""
+        text = "\n".join(words)
+        if self.lowers:
+            text = text.lower()
+        text = text.replace(" ", self.blank) if text.isascii() else text.replace(" ", "\t").translate(_SPELLED).replace("\t", self.blank)
+        tokenize = self.model.tokenize
+        return [[token.id for token in tokenize(word)] for word in text.split("\n")]
+
+    def _encoded(self, pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and all ids."""
+        if not len(pieces):
+            return np.zeros(0, np.int64), np.zeros(0, self.kind)
+        _, offsets, data = pieces.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets[:-1] - offsets[0]
+        other = _kinds(raw) != _LETTER
+        alone = np.diff(offsets) == 1
+        blank = raw[starts] == 32
+        other[starts[blank & ~alone]] = False
+        plain = np.add.reduceat(other, starts) == 0
+        texts = pieces.cast(pa.string())
+        found: list[list[int]] = [[]] * len(pieces)
+        for mask, encode in ((plain, self._words), (~plain, lambda x: [e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)])):
+            at = np.flatnonzero(mask)
+            if len(at):
+                for k, ids in zip(at.tolist(), encode(texts.take(pa.array(at)).to_pylist())):
+                    found[k] = ids
+        return np.array(list(map(len, found)), dtype=np.int64), np.fromiter(chain.from_iterable(found), dtype=self.kind)
+
+    def encode(self, column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of whole texts as (first row, ids, offsets); ids[offsets[i]:offsets[i + 1]] are those of row first + i (null: none)."""
+        for first, raw, offsets in text_chunks(column, most_bytes):
+            if not len(raw):
+                yield first, np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
                 continue
-            pieces, ids = entry
-            if None in ids:
-                if ids[0] is None:
-                    ids[0] = (fresh_first if self.blank_joins else fresh_later)[pieces[0]]
-                ids = [fresh_later[p] if x is None else x for p, x in zip(pieces, ids)]
-            out.append(b"".join(ids))
-        return out
-
-
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
-def encoder(path: str, blank_joins: bool) -> PieceEncoder:
+            edges = cuts(raw, offsets)
+            pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+            at, distinct = pieces.indices.to_numpy(), pieces.dictionary
+            place = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.flatnonzero(place < 0)
+            fresh = distinct.take(pa.array(new))
+            sizes, ids = self._encoded(fresh)
+            place[new] = len(self.known) + np.arange(len(new))
+            all_sizes, all_ids = np.concatenate((self.known_sizes, sizes)), np.concatenate((self.known_ids, ids))
+            starts = np.cumsum(all_sizes) - all_sizes
+            own = place[at]
+            counts = all_sizes[own]
+            before = np.concatenate(([0], np.cumsum(counts)))
+            values = all_ids[np.repeat(starts[own] - before[:-1], counts) + np.arange(before[-1])]
+            yield first, values, before[np.searchsorted(edges, offsets)]
+            self._remember(fresh, np.bincount(at, minlength=len(distinct))[new], sizes, ids)
+
+    def _remember(self, fresh: pa.BinaryArray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        room = self.most - len(self.known)
+        if room <= 0:
+            return
+        kept = np.flatnonzero((counts > 1) & (pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= 64))[:room]
+        if len(kept):
+            mask = np.zeros(len(sizes), dtype=bool)
+            mask[kept] = True
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(kept))])
+            self.known_sizes = np.concatenate((self.known_sizes, sizes[kept]))
+            self.known_ids = np.concatenate((self.known_ids, ids[np.repeat(mask, sizes)]))
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker: its memory lasts from task to task."""
-    key = (path, blank_joins)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, blank_joins)
-    return _encoders[key]
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
