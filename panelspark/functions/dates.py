@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import col
@@ -68,13 +68,14 @@ def _bounds(df: DataFrame, datevar: str, before: int, after: int) -> tuple[dt.da
     return None if row["a"] is None else (row["a"] - dt.timedelta(before), row["b"] + dt.timedelta(after))
 
 
-def expand_time(df: DataFrame, intermediate_periods: bool = False, datevar: str = "Date", freq: str = "m", time: Sequence[int] = (12, 24, 36, 48, 60), newdate: str = "Shift Date", shiftvar: str = "Shift", holidays: Sequence[dt.date] | None = None) -> DataFrame:
+def expand_time(df: DataFrame, intermediate_periods: bool = False, datevar: str = "Date", freq: str = "m", time: int | Sequence[int] = (12, 24, 36, 48, 60), newdate: str = "Shift Date", shiftvar: str = "Shift", holidays: Sequence[dt.date] | None = None) -> DataFrame:
     """A copy of each row for each shift, with the date shifted by months (m), years (a) or trading days (d).
 
     Months and years end at the last day of a shorter month and keep the time of day. intermediate_periods takes every
     shift from the smallest to the largest. The calendar of trading days covers the dates' range and is broadcast.
     """
-    shifts = sorted(range(min(time), max(time) + 1)) if intermediate_periods else list(time)
+    time = [time] if isinstance(time, int) else list(time)
+    shifts = list(range(min(time), max(time) + 1)) if intermediate_periods else time
     out = df.withColumn(shiftvar, F.explode(F.array(*map(F.lit, shifts))))
     if freq in ("m", "a"):
         unit = "MONTH" if freq == "m" else "YEAR"
@@ -106,8 +107,3 @@ def expand_months(df: DataFrame, datevar: str = "Date", newdatevar: str = "Daily
             closed = F.broadcast(calendar.filter("not is_trading").select(F.col("day").alias("__closed")))
             out = out.join(closed, col(newdatevar) == F.col("__closed"), "left_anti")
     return out.withColumn(newdatevar, col(newdatevar).cast("timestamp_ntz"))
-
-
-def running_ordinal(calendar: DataFrame) -> DataFrame:
-    """(day, is_trading) with the ordinal by a window, for calendars that are tables already."""
-    return calendar.withColumn("ordinal", F.sum(F.col("is_trading").cast("int")).over(Window.orderBy("day")))

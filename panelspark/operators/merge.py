@@ -12,96 +12,105 @@ from pyspark.sql import types as T
 from .common import by, col, join_keys, listed, nan_to_null, numeric_columns, present
 
 
-def left_merge_latest(left: DataFrame, right: DataFrame, on: str | Sequence[str], left_datevar: str = "Date", right_datevar: str = "Date", max_offset=None) -> DataFrame:
+def left_merge_latest(left: DataFrame, right: DataFrame, on: str | Sequence[str], left_datevar: str = "Date", right_datevar: str = "Date", max_offset=None, backend: str = "pandas", low_memory: bool = False) -> DataFrame:
     """Each left row with all right rows of the latest right date that isn't after the left date.
 
     max_offset (an interval or number that a date can be reduced by) drops matches that are older. Null keys and dates
     match nothing and keep their row. Other columns that both sides have get _x and _y; the right date gets _y where
     its name is the left date's.
 
-    One running maximum over the union of both sides' dates finds the matching date, so a key's rows never multiply.
+    One window over the union of both sides carries the latest right rows, as an array, to the left rows: one shuffle
+    of the left side, and a key's rows never multiply before the match. backend and low_memory are accepted for
+    compatibility and change nothing: there is one implementation, whose memory Spark bounds.
     """
+    if backend not in ("pandas", "sql"):
+        raise ValueError("backend must be pandas or sql")
     on = listed(on)
     left, right = nan_to_null(left), nan_to_null(right)
-    d, m = "__date", "__matched"
-    events = (
-        left.filter(present([*on, left_datevar])).select(*map(col, on), col(left_datevar).alias(d), F.lit(None).cast(right.schema[right_datevar].dataType).alias(m)).distinct()
-        .unionByName(right.filter(present([*on, right_datevar])).select(*map(col, on), col(right_datevar).alias(d), col(right_datevar).alias(m)).distinct())
-    )
-    upto = by(on).orderBy(d).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = events.withColumn(m, F.max(m).over(upto)).groupBy(*map(col, on), d).agg(F.max(m).alias(m))
-    if max_offset is not None:
-        latest = latest.withColumn(m, F.when(F.col(m) >= F.col(d) - F.lit(max_offset), F.col(m)))
     shared = (set(left.columns) & set(right.columns)) - set(on)
     rename = lambda c, suffix: c + suffix if c in shared and c not in (left_datevar, right_datevar) else c
     right_date = f"{right_datevar}_y" if right_datevar == left_datevar else right_datevar
-    dated = join_keys(left, latest.withColumnRenamed(d, left_datevar), [*on, left_datevar], null_safe=False)
-    dated = dated.select(*(col(c).alias(rename(c, "_x")) for c in left.columns), F.col(m))
-    keys = {k: f"__key_{i}" for i, k in enumerate(on)}
-    own = right.select(*(col(k).alias(keys[k]) for k in on), *(col(c).alias(right_date if c == right_datevar else rename(c, "_y")) for c in right.columns if c not in on))
-    same = F.col(m) == F.col("__right_date")
-    for k in on:
-        same = same & (col(k) == F.col(keys[k]))
-    joined = dated.join(own.withColumnRenamed(right_date, "__right_date"), same, "left").drop(m, *keys.values())
-    return joined.withColumnRenamed("__right_date", right_date)
-
-
-def _aggregates(order: Sequence[str]) -> dict[str, Callable[..., tuple]]:
-    """(before, after) of each aggregate: `after` is what a window gives for a column; order serves first, last, nth."""
-    ordered = [col(c) for c in order] or [F.lit(0)]
-
-    def full(w):
-        return w.orderBy(*ordered).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def skew(c: Column, w) -> Column:
-        n = F.count(c).over(w)
-        return F.when(n > 2, F.skewness(c).over(w) * F.sqrt(n * (n - 1)) / (n - 2))
+    rest = [c for c in right.columns if c not in on]
+    keys = [f"__key_{i}" for i in range(len(on))]
+    own = F.struct(*(col(c).alias(right_date if c == right_datevar else rename(c, "_y")) for c in rest))
+    days = right.filter(present([*on, right_datevar])).groupBy(*(col(k).alias(n) for k, n in zip(on, keys)), col(right_datevar).alias("__date")).agg(F.collect_list(own).alias("__rows"))
+    whole = F.struct(*(col(c).alias(rename(c, "_x")) for c in left.columns))
+    asked = left.select(*(col(k).alias(n) for k, n in zip(on, keys)), col(left_datevar).alias("__date"), whole.alias("__left"))
+    known = present([*keys, "__date"])
+    events = asked.filter(known).unionByName(days, allowMissingColumns=True)
+    # Rows of one date are peers, so right rows of the left row's own date count.
+    upto = by(keys).orderBy("__date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.when(F.col("__rows").isNotNull(), F.struct(F.col("__date").alias("d"), F.col("__rows").alias("rows")))
+    found = events.select("__date", "__left", F.last(latest, True).over(upto).alias("__latest")).filter("__left is not null")
+    near = F.lit(True) if max_offset is None else F.col("__latest.d") >= F.col("__date") - F.lit(max_offset)
+    found = found.select("__left", F.when(near, F.col("__latest.rows")).alias("__rows"))
+    found = found.unionByName(asked.filter(~known).select("__left", F.lit(None).cast(days.schema["__rows"].dataType).alias("__rows")))
+    return found.select("__left.*", F.explode_outer("__rows").alias("__right")).select(*(col(rename(c, "_x")) for c in left.columns), "__right.*")
+
+
+def _aggregates(order: Sequence[str]) -> dict[str, Callable[..., Column]]:
+    """Each aggregate of a column; order serves first and last."""
+    place = F.struct(*map(col, order)) if order else F.lit(0)
+
+    def skew(c: Column) -> Column:
+        n = F.count(c)
+        return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
     return {
-        "sum": lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)),
-        "prod": lambda c, w: F.coalesce(F.product(c).over(w), F.lit(1.0)),
-        "mean": lambda c, w: F.avg(c).over(w),
-        "median": lambda c, w: F.median(c).over(w),
-        "min": lambda c, w: F.min(c).over(w),
-        "max": lambda c, w: F.max(c).over(w),
-        "count": lambda c, w: F.count(c).over(w),
-        "size": lambda c, w: F.count(F.lit(1)).over(w),
-        "nunique": lambda c, w: F.size(F.collect_set(c).over(w)),
-        "std": lambda c, w: F.stddev_samp(c).over(w),
-        "var": lambda c, w: F.var_samp(c).over(w),
-        "sem": lambda c, w: F.stddev_samp(c).over(w) / F.sqrt(F.nullif(F.count(c).over(w), F.lit(0))),
+        "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
+        "prod": lambda c: F.coalesce(F.product(c), F.lit(1.0)),
+        "mean": F.avg,
+        "median": F.median,
+        "min": F.min,
+        "max": F.max,
+        "count": F.count,
+        "size": lambda c: F.count(F.lit(1)),
+        "nunique": lambda c: F.count_distinct(c).cast("int"),
+        "std": F.stddev_samp,
+        "var": F.var_samp,
+        "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.nullif(F.count(c), F.lit(0))),
         "skew": skew,
-        "quantile": lambda c, w, q=0.5: F.percentile(c, q).over(w),
-        "first": lambda c, w: F.first(c, True).over(full(w)),
-        "last": lambda c, w: F.last(c, True).over(full(w)),
-        "nth": lambda c, w, n=0: F.nth_value(c, n + 1).over(full(w)),
-        "mode": lambda c, w: F.mode(c, True).over(w),
-        "any": lambda c, w: F.coalesce(F.bool_or(c.cast("boolean")).over(w), F.lit(False)),
-        "all": lambda c, w: F.coalesce(F.bool_and(c.cast("boolean")).over(w), F.lit(True)),
+        "quantile": lambda c, q=0.5: F.percentile(c, q),
+        "first": lambda c: F.min_by(c, F.when(c.isNotNull(), place)),
+        "last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)),
+        "mode": lambda c: F.mode(c, True),
+        "any": lambda c: F.coalesce(F.bool_or(c.cast("boolean")), F.lit(False)),
+        "all": lambda c: F.coalesce(F.bool_and(c.cast("boolean")), F.lit(True)),
     }
 
 
-def groupby_merge(df: DataFrame, byvars: str | Sequence[str], func: str, *args, subset: str | Sequence[str] = "all", replace: bool = False, orderby: str | Sequence[str] | None = None) -> DataFrame:
+_OF_ANY_TYPE = ("count", "size", "nunique", "first", "last", "nth", "mode", "min", "max")
+
+
+def groupby_merge(df: DataFrame, byvars: str | Sequence[str], func: str | Sequence[str], *args, subset: str | Sequence[str] = "all", replace: bool = False, orderby: str | Sequence[str] | None = None) -> DataFrame:
     """A group aggregate on each row as <col>_<func>; rows with a null key keep their row with NULL.
 
-    "transform" takes a function of a pandas Series: it runs for each group over the rows where all chosen columns are
-    there (null keys are a group of their own), elsewhere the result is NULL. "agg" takes one that returns a scalar. A
-    group's rows for such a function are held by one Python worker. replace=True overwrites the columns in place.
+    Several aggregates may be given as a list; one pass then serves all. They are added up before the shuffle, and the
+    groups' results joined back. "nth" (by orderby) takes a window. "transform" takes a function of a pandas Series: it
+    runs for each group over the rows where all chosen columns are there (null keys are a group of their own), elsewhere
+    the result is NULL. "agg" takes one that returns a scalar. A group's rows for such a function are held by one Python
+    worker. replace=True overwrites the columns in place.
     """
-    keys = listed(byvars)
+    keys, order = listed(byvars), listed(orderby)
     df = nan_to_null(df)
-    if subset == "all":
-        names = numeric_columns(df, keys) if func not in ("count", "size", "nunique", "first", "last", "nth", "mode", "min", "max") else [c for c in df.columns if c not in keys]
-    else:
-        names = listed(subset)
-    target = (lambda c: c) if replace else (lambda c: f"{c}_{func}")
+    funcs = [func] if isinstance(func, str) else list(func)
+    if len(funcs) > 1 and (replace or args):
+        raise ValueError("replace and arguments need a single aggregate")
+    names = {f: listed(subset) if subset != "all" else [c for c in df.columns if c not in keys] if f in _OF_ANY_TYPE else numeric_columns(df, keys) for f in funcs}
+    target = (lambda c, f: c) if replace else (lambda c, f: f"{c}_{f}")
     if func in ("transform", "agg", "apply"):
-        return _by_function(df, keys, names, args[0], func, target, listed(orderby))
-    known = _aggregates(listed(orderby))
-    if func not in known:
-        raise ValueError(f"unknown aggregate {func!r}; known are {', '.join(sorted(known))}, transform, agg, apply")
-    w = by(keys)
-    return df.withColumns({target(c): F.when(present(keys), known[func](col(c), w, *args)) for c in names})
+        return _by_function(df, keys, names[func], args[0], func, lambda c: target(c, func), order)
+    known = _aggregates(order)
+    if func == "nth":
+        w = by(keys).orderBy(*([col(c) for c in order] or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({target(c, func): F.when(present(keys), F.nth_value(col(c), (args[0] if args else 0) + 1).over(w)) for c in names[func]})
+    for f in funcs:
+        if f not in known:
+            raise ValueError(f"unknown aggregate {f!r}; known are {', '.join(sorted(known))}, nth, transform, agg, apply")
+    done = {target(c, f): known[f](col(c), *args) for f in funcs for c in names[f]}
+    groups = df.filter(present(keys)).groupBy(*map(col, keys)).agg(*(x.alias(f"__new{i}") for i, x in enumerate(done.values())))
+    joined = join_keys(df, groups, keys, null_safe=False)
+    return joined.withColumns({c: F.col(f"__new{i}") for i, c in enumerate(done)}).drop(*(f"__new{i}" for i in range(len(done))))
 
 
 def _by_function(df: DataFrame, keys: list[str], names: list[str], func: Callable, kind: str, target: Callable[[str], str], order: list[str]) -> DataFrame:
@@ -139,14 +148,22 @@ def groupby_index(df: DataFrame, byvars: str | Sequence[str], sortvars: str | Se
     return df.withColumn("group_index", (F.row_number().over(w) - 1).cast("long"))
 
 
-def apply_func_to_unique_and_merge(df: DataFrame, column: str, func: Callable[[pd.Series], pd.Series], result: str, result_type: str) -> DataFrame:
-    """df with result = func(column), where func sees each distinct value once, in batches."""
+def apply_func_to_unique_and_merge(df: DataFrame, column: str, func: Callable[[pd.Series], pd.Series | pd.DataFrame], result: str | Sequence[str], result_type: str | Sequence[str]) -> DataFrame:
+    """df with result = func(column), where func sees each distinct value once, in batches.
+
+    For several result columns func returns a DataFrame, whose columns are taken in order.
+    """
     unique = df.select(col(column).alias("__value")).distinct()
-    schema = T.StructType([*unique.schema.fields, *T.StructType.fromDDL(f"`{result}` {result_type}").fields])
+    names, types = listed(result), listed(result_type)
+    if len(names) != len(types):
+        raise ValueError("each result column needs a type")
+    schema = T.StructType([*unique.schema.fields, *(f for n, t in zip(names, types) for f in T.StructType.fromDDL(f"`{n}` {t}").fields)])
 
     def run(batches):
         for batch in batches:
-            yield batch.assign(**{result: func(batch["__value"])})
+            found = func(batch["__value"])
+            columns = [found] if isinstance(found, pd.Series) else [found.iloc[:, k] for k in range(found.shape[1])]
+            yield batch.assign(**{n: c for n, c in zip(names, columns, strict=True)})
 
     found = unique.mapInPandas(run, schema)
     return join_keys(df, found.withColumnRenamed("__value", column), [column])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by, col, join_keys, listed, nan_to_null, numeric_columns
+from .common import col, join_keys, listed, nan_to_null, numeric_columns
 from .transform import averages
 
 
@@ -43,10 +43,8 @@ def portfolio(df: DataFrame, groupvar: str, ngroups: int = 10, cutoffs: Sequence
         shares = list(quant_cutoffs) if quant_cutoffs is not None else [i / ngroups for i in range(1, ngroups)]
         if not shares:
             df = df.withColumn(cuts, F.array().cast("array<double>"))
-        elif cutdf is None and grouped:
-            df = df.withColumn(cuts, F.percentile(valid, shares).over(by(keys)))
         elif grouped:
-            marks = nan_to_null(cutdf).groupBy(*map(col, keys)).agg(F.percentile(valid, shares).alias(cuts))
+            marks = (df if cutdf is None else nan_to_null(cutdf)).groupBy(*map(col, keys)).agg(F.percentile(valid, shares).alias(cuts))
             df = join_keys(df, marks, keys)
         else:
             # One row of breakpoints for the whole table.

@@ -20,12 +20,14 @@ def winsorize(df: DataFrame, pct: float | tuple[float, float], subset: str | Seq
     low, high = (pct, pct) if isinstance(pct, (int, float)) else pct
     df, keys = nan_to_null(df), listed(byvars)
     names = listed(subset) or numeric_columns(df, keys)
-    w = by(keys)
+    order = df.columns
     df = df.withColumns({c: col(c).cast("double") for c in names})
-    if top:
-        df = df.withColumns({c: F.when(col(c).isNotNull(), F.least(col(c), F.percentile(col(c), 1 - high).over(w))) for c in names})
-    if bot:
-        df = df.withColumns({c: F.when(col(c).isNotNull(), F.greatest(col(c), F.percentile(col(c), low).over(w))) for c in names})
+    for wanted, share, clip in ((top, 1 - high, F.least), (bot, low, F.greatest)):
+        if wanted:
+            limits = [F.percentile(col(c), share).alias(f"__limit{i}") for i, c in enumerate(names)]
+            # Counts of values are added up before the shuffle; the limits are one row for each group.
+            df = join_keys(df, df.groupBy(*map(col, keys)).agg(*limits), keys) if keys else df.join(F.broadcast(df.agg(*limits)))
+            df = df.withColumns({c: F.when(col(c).isNotNull(), clip(col(c), F.col(f"__limit{i}"))) for i, c in enumerate(names)}).select(*map(col, order))
     return df
 
 
@@ -97,21 +99,27 @@ def cumulate(df: DataFrame, cumvars: str | Sequence[str], method: str, periodvar
 def long_to_wide(df: DataFrame, groupvars: str | Sequence[str], values: str | Sequence[str], colindex: str | Sequence[str] | None = None, colindex_only: bool = False, columns: Sequence | None = None, orderby: str | Sequence[str] | None = None) -> DataFrame:
     """One column <value><colindex> for each value and index, joined to the other columns and made distinct.
 
-    Without colindex the index is the position in the group by orderby. Two values for one cell raise an error. columns
-    gives the index values, else they are looked up. colindex_only names the columns by the index alone.
+    Rows that are equal throughout count once. A list of index columns gives names <value>_<first>_<second>. Without
+    colindex the index is the position in the group by orderby, or else by the other columns and the values. Two values
+    for one cell raise an error. columns gives the index values, else they are looked up, up to as many as Spark pivots
+    (spark.sql.pivotMaxValues). colindex_only names the columns by the index alone.
     """
     keys, names, index = listed(groupvars), listed(values), listed(colindex)
+    df = df.distinct()
     if colindex_only and len(names) > 1:
         raise ValueError("colindex_only needs a single value column")
     at = "__index"
     if index:
-        df = df.distinct()
-        df = df.withColumn(at, F.concat(*(F.coalesce(col(c).cast("string"), F.lit("nan")) for c in index)))
+        texts = [F.coalesce(col(c).cast("string"), F.lit("nan")) for c in index]
+        df = df.withColumn(at, texts[0] if isinstance(colindex, str) else F.concat(*(x for t in texts for x in (F.lit("_"), t))))
     else:
-        order = [col(c) for c in listed(orderby)] or [F.lit(0)]
-        df = df.withColumn(at, (F.row_number().over(by(keys).orderBy(*order)) - 1).cast("string"))
+        order = listed(orderby) or [*(c for c in df.columns if c not in (*keys, *names)), *names]
+        df = df.withColumn(at, (F.row_number().over(by(keys).orderBy(*map(col, order))) - 1).cast("string"))
     if columns is None:
-        columns = sorted(r[0] for r in df.select(at).distinct().collect())  # they become columns, so few by nature
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        columns = sorted((r[0] for r in df.select(at).distinct().limit(most + 1).collect()), key=(str if index else int))
+        if len(columns) > most:
+            raise ValueError(f"more than {most} index values; give columns or raise spark.sql.pivotMaxValues")
     labels = [str(c) for c in columns]
     cells = []
     for v in names:

@@ -68,8 +68,7 @@ round(var_samp(l_quantity) OVER w, 4) AS l_quantity_var, min(l_quantity) OVER w
 round(median(l_quantity) OVER w, 4) AS l_quantity_median, round(quantile_cont(l_quantity, 0.25) OVER w, 4) AS l_quantity_quantile FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)""")
 def groupby_merge_aggregates(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_quantity")
-    for func in ("sum", "mean", "std", "var", "min", "max", "count", "median"):
-        df = merge.groupby_merge(df, "l_suppkey", func, subset="l_quantity")
+    df = merge.groupby_merge(df, "l_suppkey", ["sum", "mean", "std", "var", "min", "max", "count", "median"], subset="l_quantity")
     df = merge.groupby_merge(df, "l_suppkey", "quantile", 0.25, subset="l_quantity").drop("l_quantity")
     return rounded(df, *(f"l_quantity_{f}" for f in ("sum", "mean", "std", "var", "median", "quantile")))
 
@@ -78,8 +77,8 @@ def groupby_merge_aggregates(spark, sf_dir):
 FROM events GROUP BY user_id) SELECT event_id, user_id, a AS value_first, b AS value_last, CAST(n AS INTEGER) AS event_type_nunique, s AS value_size, sem AS value_sem, skew AS value_skew FROM events JOIN f USING (user_id)""")
 def groupby_merge_ordered(spark, sf_dir):
     df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    for func, c in (("first", "value"), ("last", "value"), ("nunique", "event_type"), ("size", "value"), ("sem", "value"), ("skew", "value")):
-        df = merge.groupby_merge(df, "user_id", func, subset=c, orderby="ts")
+    df = merge.groupby_merge(df, "user_id", ["first", "last", "size", "sem", "skew"], subset="value", orderby="ts")
+    df = merge.groupby_merge(df, "user_id", "nunique", subset="event_type")
     df = rounded(df, "value_sem", digits=6)
     return rounded(df, "value_skew").drop("ts", "event_type", "value")
 
@@ -128,38 +127,20 @@ def var_change(spark, sf_dir):
     return rounded(transform.var_change_by_groups(df, "value", "user_id", "ts", 2), "value_change")
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, value / 1000.0 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS p FROM events),
-w AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE 1 + (p > 2)::INT + (p > 5)::INT END AS win FROM e)
-SELECT event_id, user_id, round(r, 6) AS r, round(product(1 + r) OVER (PARTITION BY user_id, win ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1, 6) AS cum_r FROM w WHERE p < 12""")
-def cumulate_between(spark, sf_dir):
-    df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") / 1000).alias("r"))
-    df = merge.groupby_index(df, "user_id", "ts").filter("group_index < 12").drop("group_index")
-    return rounded(transform.cumulate(df, "r", "between", "ts", "user_id", [1, 3, 6], grossify=True), "r", "cum_r", digits=6).drop("ts")
-
-
-@query("""WITH e AS (SELECT event_id, user_id, ts, 1 + value / 1000.0 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)
-SELECT event_id, user_id, round(product(r) OVER (PARTITION BY user_id, ts = (SELECT min(ts) FROM events) ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS r FROM e WHERE p <= 12""")
-def cumulate_first(spark, sf_dir):
-    df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (1 + F.col("value") / 1000).alias("r"))
-    df = merge.groupby_index(df, "user_id", "ts").filter("group_index < 12").drop("group_index")
-    return rounded(transform.cumulate(df, "r", "first", "ts", "user_id", replace=True), "r", digits=6).drop("ts")
-
-
 @query("""WITH e AS (SELECT event_id, user_id, ts, value / 1e6 AS r, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS p FROM events),
 w AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE 1 + (p > 2)::INT + (p > 5)::INT END AS win FROM e)
-SELECT event_id, user_id, round(r, 6) AS r, round(product(1 + r) OVER (PARTITION BY user_id, win ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1, 6) AS cum_r FROM w""")
-def cumulate_between_all_events(spark, sf_dir):
-    """cumulate_between without its bound on events; values in millionths keep the products near one."""
+SELECT event_id, user_id, round(r, 9) AS r, round(product(1 + r) OVER (PARTITION BY user_id, win ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1, 9) AS cum_r FROM w""")
+def cumulate_between(spark, sf_dir):
+    """Values in millionths keep the products near one."""
     df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") / 1e6).alias("r"))
-    return rounded(transform.cumulate(df, "r", "between", "ts", "user_id", [1, 3, 6], grossify=True), "r", "cum_r", digits=6).drop("ts")
+    return rounded(transform.cumulate(df, "r", "between", "ts", "user_id", [1, 3, 6], grossify=True), "r", "cum_r", digits=9).drop("ts")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, 1 + value / 1e6 AS r FROM events)
-SELECT event_id, user_id, round(product(r) OVER (PARTITION BY user_id, ts = (SELECT min(ts) FROM events) ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS r FROM e""")
-def cumulate_first_all_events(spark, sf_dir):
-    """cumulate_first without its bound on events."""
+SELECT event_id, user_id, round(product(r) OVER (PARTITION BY user_id, ts = (SELECT min(ts) FROM events) ORDER BY ts ROWS UNBOUNDED PRECEDING), 9) AS r FROM e""")
+def cumulate_first(spark, sf_dir):
     df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", (1 + F.col("value") / 1e6).alias("r"))
-    return rounded(transform.cumulate(df, "r", "first", "ts", "user_id", replace=True), "r", digits=6).drop("ts")
+    return rounded(transform.cumulate(df, "r", "first", "ts", "user_id", replace=True), "r", digits=9).drop("ts")
 
 
 PORT = """WITH c AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS x, list_transform([0.2, 0.4, 0.6, 0.8], lambda q: 0.0) AS z,
@@ -215,19 +196,11 @@ def long_short(spark, sf_dir):
     return rounded(found, "l_discount", "l_discount_wavg", digits=6)
 
 
-@query("""SELECT o_custkey, round(max(s) FILTER (o_orderpriority = '1-URGENT'), 4) AS "spent1-URGENT", round(max(s) FILTER (o_orderpriority = '5-LOW'), 4) AS "spent5-LOW"
-FROM (SELECT o_custkey, o_orderpriority, sum(o_totalprice) AS s FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1, 2) GROUP BY 1""")
-def long_to_wide(spark, sf_dir):
-    df = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).groupBy("o_custkey", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 4).alias("spent"))
-    return transform.long_to_wide(df, "o_custkey", "spent", "o_orderpriority", columns=["1-URGENT", "5-LOW"])
-
-
 ALL_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 @query("SELECT o_custkey, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 4) AS \"spent{p}\"" for p in ALL_PRIORITIES) + " FROM orders GROUP BY 1")
-def long_to_wide_all_priorities(spark, sf_dir):
-    """long_to_wide over all orders."""
+def long_to_wide(spark, sf_dir):
     df = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 4).alias("spent"))
     return transform.long_to_wide(df, "o_custkey", "spent", "o_orderpriority", columns=ALL_PRIORITIES)
 
@@ -314,31 +287,15 @@ o AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM days WHERE isodow(d
 """
 
 
-@query(OPEN + """, e AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), a AS (SELECT e.day, max(o.n) AS n0, max(o.day) = e.day AS is_open FROM e JOIN o ON o.day <= e.day GROUP BY e.day)
-SELECT a.day, CAST(s AS INTEGER) AS "Shift", CAST(o.day AS TIMESTAMP) AS "Shift Date" FROM a, (SELECT unnest([-2, -1, 0, 1, 2]) AS s) JOIN o ON o.n = n0 + s + CASE WHEN s > 0 OR is_open THEN 0 ELSE 1 END""")
-def expand_time_trading_days(spark, sf_dir):
-    days = read(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day")).distinct()
-    return dates.expand_time(days, True, "day", "d", [-2, 2])
-
-
-@query(OPEN + """, e AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE ts < TIMESTAMP '2024-01-06')
-SELECT user_id, e.day, CAST(o.day AS TIMESTAMP) AS "Daily Date" FROM e JOIN o ON date_trunc('month', o.day) = date_trunc('month', e.day)""")
-def expand_months_trading_days(spark, sf_dir):
-    days = read(spark, sf_dir, "events").filter("ts < timestamp_ntz'2024-01-06'").select("user_id", F.col("ts").cast("date").alias("day")).distinct()
-    return dates.expand_months(days, "day")
-
-
 @query(OPEN + """, e AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events), a AS (SELECT e.day, max(o.n) AS n0, max(o.day) = e.day AS is_open FROM (SELECT DISTINCT day FROM e) e JOIN o ON o.day <= e.day GROUP BY e.day)
 SELECT e.event_id, e.day, CAST(s AS INTEGER) AS "Shift", CAST(o.day AS TIMESTAMP) AS "Shift Date" FROM e JOIN a USING (day), (SELECT unnest([-2, -1, 0, 1, 2]) AS s) JOIN o ON o.n = n0 + s + CASE WHEN s > 0 OR is_open THEN 0 ELSE 1 END""")
-def expand_time_all_events(spark, sf_dir):
-    """expand_time_trading_days for every event."""
+def expand_time_trading_days(spark, sf_dir):
     days = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"))
     return dates.expand_time(days, True, "day", "d", [-2, 2])
 
 
 @query(OPEN + """SELECT event_id, CAST(ts AS DATE) AS day, CAST(o.day AS TIMESTAMP) AS "Daily Date" FROM events JOIN o ON date_trunc('month', o.day) = date_trunc('month', ts)""")
-def expand_months_all_events(spark, sf_dir):
-    """expand_months_trading_days for every event."""
+def expand_months_trading_days(spark, sf_dir):
     return dates.expand_months(read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day")), "day")
 
 
@@ -390,3 +347,98 @@ def sql_top_orders(spark, sf_dir):
 def sql_anti_join(spark, sf_dir):
     frames = {"customer": read(spark, sf_dir, "customer"), "orders": read(spark, sf_dir, "orders")}
     return sql_plan.sql(frames, "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 200000)")
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderpriority, o_orderstatus, round(sum(o_totalprice), 4) AS spent FROM orders GROUP BY ALL)
+SELECT o_custkey, """ + ", ".join(f"max(spent) FILTER (o_orderstatus = '{s}' AND o_orderpriority = '{p}') AS \"_{s}_{p}\"" for s in ("F", "O", "P") for p in ALL_PRIORITIES) + " FROM d GROUP BY 1")
+def long_to_wide_several_columns(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 4).alias("spent"))
+    return transform.long_to_wide(df, "o_custkey", "spent", ["o_orderstatus", "o_orderpriority"], True, [f"_{s}_{p}" for s in ("F", "O", "P") for p in ALL_PRIORITIES])
+
+
+@query("""WITH d AS (SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag, l_linestatus) - 1 AS n FROM d)
+SELECT l_suppkey, """ + ", ".join(f"max(l_linestatus) FILTER (n = {k}) AS l_linestatus{k}" for k in range(6)) + " FROM r GROUP BY 1")
+def long_to_wide_by_position(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus")  # its repeated rows count once
+    wide = transform.long_to_wide(df, "l_suppkey", "l_linestatus", columns=range(6), orderby=["l_returnflag", "l_linestatus"])
+    return wide.drop("l_returnflag").distinct()
+
+
+@query(f"""WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2), m AS (SELECT l_suppkey, min(l_linenumber) AS l_linenumber_mode FROM c
+JOIN (SELECT l_suppkey, max(n) AS n FROM c GROUP BY 1) USING (l_suppkey, n) GROUP BY 1), g AS (SELECT l_suppkey, round(product(1 + l_tax / 1e6), 9) AS x_prod, bool_or(l_discount > 0) AS b_any, bool_and(l_discount > 0) AS b_all FROM lineitem GROUP BY 1)
+SELECT {LINE}, x_prod, l_linenumber_mode, b_any, b_all FROM lineitem JOIN m USING (l_suppkey) JOIN g USING (l_suppkey)""")
+def groupby_merge_others(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select(*LINE_KEYS, (1 + F.col("l_tax") / 1e6).alias("x"), (F.col("l_discount") > 0).alias("b"))
+    df = merge.groupby_merge(merge.groupby_merge(df, "l_suppkey", "prod", subset="x"), "l_suppkey", ["any", "all"], subset="b")
+    return rounded(merge.groupby_merge(df, "l_suppkey", "mode", subset="l_linenumber").drop("x", "b"), "x_prod", digits=9)
+
+
+@query("SELECT event_id, user_id, round(nth_value(value, 3) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS value_nth FROM events")
+def groupby_merge_nth(spark, sf_dir):
+    df = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return rounded(merge.groupby_merge(df, "user_id", "nth", 2, subset="value", orderby="ts"), "value_nth").drop("ts", "value")
+
+
+@query("SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id), 4) AS value FROM events")
+def groupby_merge_replace(spark, sf_dir):
+    return rounded(merge.groupby_merge(read(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", "mean", subset="value", replace=True), "value")
+
+
+@query("SELECT event_id, user_id, round(max(value) OVER w - min(value) OVER w, 4) AS value_agg FROM events WINDOW w AS (PARTITION BY user_id)")
+def groupby_merge_function(spark, sf_dir):
+    df = merge.groupby_merge(read(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", "agg", lambda s: s.max() - s.min(), subset="value")
+    return rounded(df, "value_agg").drop("value")
+
+
+@query("SELECT c_custkey, length(c_mktsegment) AS n, upper(c_mktsegment) = c_mktsegment AS is_upper FROM customer")
+def apply_to_unique_two_results(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    found = merge.apply_func_to_unique_and_merge(df, "c_mktsegment", lambda s: s.to_frame().assign(n=s.str.len(), u=s.str.isupper())[["n", "u"]], ["n", "is_upper"], ["long", "boolean"])
+    return found.drop("c_mktsegment")
+
+
+@query("""SELECT o_orderkey, o_orderdate, CAST(2 AS INTEGER) AS "Shift", o_orderdate + to_years(2) AS "Shift Date" FROM orders""")
+def expand_time_years(spark, sf_dir):
+    return dates.expand_time(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), datevar="o_orderdate", freq="a", time=2)
+
+
+@query(OPEN.replace(", DATE '2024-01-15', DATE '2024-02-19'", "") + """SELECT event_id, CAST(ts AS DATE) AS day, CAST(o.day AS TIMESTAMP) AS "Daily Date" FROM events JOIN o ON date_trunc('month', o.day) = date_trunc('month', ts)""")
+def expand_months_own_holidays(spark, sf_dir):
+    import datetime as dt
+
+    df = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"))
+    return dates.expand_months(df, "day", holidays=[dt.date(2023, 12, 25), dt.date(2024, 1, 1)])
+
+
+@query("""SELECT c_custkey, c_nationkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 4) AS c_acctbal_mean, round(quantile_cont(c_acctbal, 0.25) OVER (PARTITION BY c_nationkey), 4) AS q FROM customer""")
+def groupby_merge_quartile(spark, sf_dir):
+    df = merge.groupby_merge(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "mean", subset="c_acctbal")
+    df = merge.groupby_merge(df, "c_nationkey", "quantile", 0.25, subset="c_acctbal").withColumnRenamed("c_acctbal_quantile", "q")
+    return rounded(df, "c_acctbal_mean", "q").drop("c_acctbal")
+
+
+@query("""SELECT o_orderkey, CAST(1 + (o_totalprice > a)::INT + (o_totalprice > b)::INT AS INTEGER) AS portfolio FROM orders JOIN
+(SELECT o_orderpriority, quantile_cont(o_totalprice, 0.1) AS a, quantile_cont(o_totalprice, 0.85) AS b FROM orders GROUP BY 1) USING (o_orderpriority)""")
+def portfolio_quantile_cutoffs(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return portfolio.portfolio(df, "o_totalprice", quant_cutoffs=[0.1, 0.85], byvars="o_orderpriority").select("o_orderkey", "portfolio")
+
+
+@query("""WITH g AS (SELECT l_suppkey, regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem GROUP BY 1)
+SELECT """ + LINE + """, round(a, 4) AS const, round(b, 4) AS coef_l_quantity FROM lineitem JOIN g USING (l_suppkey)""")
+def regression_merged(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_extendedprice", "l_quantity")
+    df = regression.reg_by(df, "l_extendedprice", "l_quantity", "l_suppkey", merge=True)
+    return rounded(df, "const", "coef_l_quantity").drop("l_extendedprice", "l_quantity")
+
+
+@query("SELECT n_regionkey AS r, c_mktsegment AS s, count(*) AS n, grouping(n_regionkey) AS g FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_regionkey, c_mktsegment)")
+def sql_cube(spark, sf_dir):
+    frames = {t: read(spark, sf_dir, t) for t in ("customer", "nation")}
+    return sql_plan.sql(frames, "select n_regionkey as r, c_mktsegment as s, count(*) as n, cast(grouping(n_regionkey) as bigint) as g from customer join nation on c_nationkey = n_nationkey group by cube (n_regionkey, c_mktsegment)")
+
+
+@query("""SELECT c_custkey AS k FROM customer SEMI JOIN orders ON o_custkey = c_custkey UNION SELECT s_suppkey FROM supplier UNION ALL SELECT a.r_regionkey * 10 + b.r_regionkey FROM region a CROSS JOIN region b WHERE a.r_regionkey < b.r_regionkey""")
+def sql_semi_cross_union(spark, sf_dir):
+    frames = {t: read(spark, sf_dir, t) for t in ("customer", "orders", "supplier", "region")}
+    return sql_plan.sql(frames, "select c_custkey as k from customer left semi join orders on o_custkey = c_custkey union select s_suppkey from supplier union all select a.r_regionkey * 10 + b.r_regionkey from region a cross join region b where a.r_regionkey < b.r_regionkey")

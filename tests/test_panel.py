@@ -1,12 +1,15 @@
 """Golden values of the panel operators on small frames."""
 
 import datetime as dt
+import time
 
+import numpy as np
 import pytest
 
 from panelspark.functions import dates, strings
 from panelspark.operators import fill, merge, portfolio, regression, transform
 from panelspark.plans import sql as sql_plan
+from panelspark.sources import load, show
 
 KEYS = [(10516, "a"), (10516, "b"), (10517, "a")]
 
@@ -79,6 +82,68 @@ def test_long_to_wide(panel):
         transform.long_to_wide(twice, ["PERMNO", "byvar"], "RET", "Date").collect()
 
 
+def test_long_to_wide_drops_repeated_rows_without_colindex(spark, panel):
+    once = transform.long_to_wide(panel, ["PERMNO", "byvar"], "RET")
+    again = transform.long_to_wide(panel.union(panel.limit(3)), ["PERMNO", "byvar"], "RET")
+    assert once.columns == again.columns == ["PERMNO", "byvar", "Date", *(f"RET{k}" for k in range(4))] and once.count() == again.count() == 12
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+    both = spark.createDataFrame([(1, "1", "23", 5), (1, "12", "3", 6)], "g int, a string, b string, v int")
+    assert transform.long_to_wide(both, "g", "v", ["a", "b"]).first().asDict() == {"g": 1, "v_12_3": 6, "v_1_23": 5}
+    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    with pytest.raises(ValueError, match="more than 3"):
+        transform.long_to_wide(panel, ["PERMNO", "byvar"], "RET", "Date")
+    spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_expand_time_takes_a_number(spark):
+    month = spark.createDataFrame([(dt.date(2000, 2, 29),)], "Date date")
+    assert [str(r["Shift Date"])[:10] for r in dates.expand_time(month, freq="a", time=1).collect()] == ["2001-02-28"]
+    assert dates.expand_time(month, time=12).first()["Shift"] == 12
+
+
+def test_readers_and_display(spark, panel, tmp_path, capsys):
+    panel.write.parquet(str(tmp_path / "p.parquet"))
+    panel.coalesce(1).write.option("header", True).csv(str(tmp_path / "p.csv"))
+    assert load.read_file(spark, str(tmp_path / "p.parquet")).count() == load.read_file(spark, str(tmp_path / "p.csv")).count() == 12
+    with pytest.raises(NotImplementedError):
+        load.read_file(spark, "p.xyz")
+    again = eval(show.to_copy_paste(panel.limit(2)))  # noqa: S307
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, panel.limit(2).collect()))
+    assert eval(show.to_copy_paste(panel.limit(1), column_names=False)).columns == ["c0", "c1", "c2", "c3"]  # noqa: S307
+    assert [show.ordinal(n) for n in (1, 2, 3, 4, 11, 12, 13, 21, 112)] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21st", "112th"]
+    assert show.df_types_dict(panel) == {"PERMNO": "int", "byvar": "string", "Date": "string", "RET": "double"}
+    narrow = show.optimized_df(spark.createDataFrame([(1, 300, 1.5), (-100, 70_000, None)], "a long, b long, c double"), floats=True)
+    assert dict(narrow.dtypes) == {"a": "tinyint", "b": "int", "c": "float"}
+    left = show.estimate_time(10, 4, time.perf_counter() - 5) - dt.datetime.now()
+    assert 4 < left.total_seconds() < 6 and "5 of 10" in capsys.readouterr().out
+
+
+def test_errors_of_several_regressors_equal_the_plain_formula(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(5, 1, (60, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=60) * x[:, 0]
+    df = spark.createDataFrame([(k % 2, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(x, y))], "g int, a double, b double, y double")
+    for cons in (True, False):
+        got = {r.g: r for r in regression.reg_by(df, "y", ["a", "b"], "g", cons=cons, stderr=True).collect()}
+        for g in (0, 1):
+            z = np.c_[np.ones(30), x[g::2]] if cons else x[g::2]
+            inverse = np.linalg.inv(z.T @ z)
+            b = inverse @ z.T @ y[g::2]
+            e = y[g::2] - z @ b
+            wide = inverse @ (z.T * e**2) @ z @ inverse * 30 / (30 - z.shape[1])
+            names = [*(["const"] if cons else []), "a", "b"]
+            assert [got[g][f"stderr_{n}"] for n in names] == pytest.approx(np.sqrt(np.diag(wide)), rel=1e-8)
+            assert [got[g]["const" if n == "const" else f"coef_{n}"] for n in names] == pytest.approx(b, rel=1e-8)
+
+
+def test_null_keys_and_options_of_the_as_of_join(spark, panel):
+    with pytest.raises(ValueError):
+        merge.left_merge_latest(panel, panel, "byvar", backend="nosuch")
+    one = spark.createDataFrame([("a", 5)], "k string, Date int")
+    other = spark.createDataFrame([("a", 4, 7), ("a", 5, 8), ("a", 6, 9)], "k string, Date int, v int")
+    assert [tuple(r) for r in merge.left_merge_latest(one, other, "k", backend="sql", low_memory=True).collect()] == [("a", 5, 5, 8)]
+
+
 def test_dates_and_holidays(spark):
     df = spark.createDataFrame([(16114.0,), (None,)], "d double")
     assert [str(r[0])[:10] for r in df.select(dates.convert_sas_date(df.d)).collect()] == ["2004-02-13", "None"]

@@ -28,7 +28,7 @@ def same_rows(got, want):
     return a == b and x == pytest.approx(y, rel=0, abs=2e-6)
 
 
-@pytest.mark.parametrize("name", ["cumulate_between_all_events", "cumulate_first_all_events"])
+@pytest.mark.parametrize("name", ["cumulate_between", "cumulate_first"])
 def test_every_event_is_cumulated(spark, database, name):
     got = queries.QUERIES[name](spark, SF)
     want = database.sql(queries.SQL[name])
@@ -37,7 +37,7 @@ def test_every_event_is_cumulated(spark, database, name):
     assert got.select("event_id").orderBy("event_id").collect() == ids
 
 
-@pytest.mark.parametrize("name, key, table", [("expand_time_all_events", "event_id", "events"), ("expand_months_all_events", "event_id", "events"), ("long_to_wide_all_priorities", "o_custkey", "orders")])
+@pytest.mark.parametrize("name, key, table", [("expand_time_trading_days", "event_id", "events"), ("expand_months_trading_days", "event_id", "events"), ("long_to_wide", "o_custkey", "orders")])
 def test_every_row_is_expanded_or_pivoted(spark, database, name, key, table):
     got = queries.QUERIES[name](spark, SF)
     want = database.sql(queries.SQL[name])
