@@ -44,7 +44,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to a shared Parquet table and read back: cuts lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._panelspark_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_panelspark_path", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
