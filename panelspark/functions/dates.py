@@ -23,6 +23,10 @@ def year_month_from_date(df: DataFrame, date: str = "Date", yearname: str = "Yea
     return df.withColumns({yearname: F.year(col(date)), monthname: F.month(col(date))})
 
 
+def year_month_from_single_date(date: dt.date) -> tuple[int, int]:
+    return date.year, date.month
+
+
 def _nth(year: int, month: int, weekday: int, n: int) -> dt.date:
     """The n-th such weekday of a month, from its end for n < 0."""
     if n > 0:

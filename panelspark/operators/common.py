@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def listed(names: str | Sequence[str] | None) -> list[str]:
+#: What a function that takes one column name or several accepts.
+Names = str | Sequence[str]
+
+
+def listed(names: Names | None) -> list[str]:
     if names is None:
         return []
     return [names] if isinstance(names, str) else list(names)
@@ -29,6 +33,10 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
+def datetime_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) and f.name not in exclude]
+
+
 def present(names: Sequence[str]) -> Column:
     """Whether all of the keys are there."""
     out = F.lit(True)

@@ -18,20 +18,24 @@ def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**options).format(kind).load(path)
 
 
-def load_sas(spark: SparkSession, path: str, cache: bool = True, encodings: tuple[str, ...] = ("utf-8", "cp1252")) -> DataFrame:
-    """A SAS file, decoded on the driver in chunks; a Parquet copy beside it is used while it is newer."""
-    copy = os.path.splitext(path)[0] + ".parquet"
+def load_sas(spark: SparkSession, path: str, csv: bool = False, cache: bool = True, encodings: tuple[str, ...] = ("utf-8", "cp1252"), **options) -> DataFrame:
+    """A SAS file of the driver's file system, decoded there in chunks; a copy beside it is used while it is newer.
+
+    The copy is Parquet, which keeps the types, or with csv=True a CSV file, whose reading takes `options`.
+    """
+    kind = "csv" if csv else "parquet"
+    copy = f"{os.path.splitext(path)[0]}.{kind}"
     if cache and os.path.exists(copy) and os.path.getmtime(copy) > os.path.getmtime(path):
-        return spark.read.parquet(copy)
+        return read_file(spark, copy, **options)
     for k, encoding in enumerate(encodings):
         try:
             mode = "overwrite"
             if not cache:
                 return spark.createDataFrame(pd.read_sas(path, encoding=encoding))
             for chunk in pd.read_sas(path, encoding=encoding, chunksize=200_000):
-                spark.createDataFrame(chunk).write.mode(mode).parquet(copy)
+                spark.createDataFrame(chunk).write.mode(mode).options(**({"header": True} if csv else {})).format(kind).save(copy)
                 mode = "append"
-            return spark.read.parquet(copy)
+            return read_file(spark, copy, **options)
         except UnicodeDecodeError:
             if k == len(encodings) - 1:
                 raise

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.common import col
+from ..operators.common import col, datetime_columns
 
 SHOWN = 1000
 
@@ -63,7 +63,8 @@ def plot_multi_axis(df: DataFrame, x: str, cols: list[str], spacing: float = 0.1
 
 
 def df_types_dict(df: DataFrame, remove_dates: bool = True) -> dict[str, str]:
-    return {n: t for n, t in df.dtypes if not (remove_dates and ("date" in t or "timestamp" in t))}
+    left_out = datetime_columns(df) if remove_dates else []
+    return {n: t for n, t in df.dtypes if n not in left_out}
 
 
 def optimized_df(df: DataFrame, floats: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden values of the panel operators on small frames."""
 
 import datetime as dt
+import os
 import time
 
 import numpy as np
@@ -118,6 +119,30 @@ def test_readers_and_display(spark, panel, tmp_path, capsys):
     assert 4 < left.total_seconds() < 6 and "5 of 10" in capsys.readouterr().out
 
 
+def test_sas_files_are_read_once(spark, monkeypatch, tmp_path):
+    calls = []
+
+    def read_sas(path, encoding, chunksize=None):
+        calls.append(encoding)
+        if encoding == "utf-8":
+            raise UnicodeDecodeError("utf-8", b"x", 0, 1, "no")
+        frames = [load.pd.DataFrame({"a": [1, 2], "b": ["x", "ü"]}), load.pd.DataFrame({"a": [3], "b": ["z"]})]
+        return iter(frames) if chunksize else load.pd.concat(frames)
+
+    monkeypatch.setattr(load.pd, "read_sas", read_sas)
+    for csv in (False, True):
+        path = tmp_path / f"{csv}.sas7bdat"
+        path.write_bytes(b"")
+        os.utime(path, (1, 1))
+        for n in (2, 2):  # the second time the copy is read
+            assert sorted(map(tuple, load.load_sas(spark, str(path), csv).collect())) == [(1, "x"), (2, "ü"), (3, "z")] and len(calls) == n + 2 * csv
+    only = load.load_sas(spark, str(tmp_path / "True.sas7bdat"), True, inferSchema=False)
+    assert dict(only.dtypes) == {"a": "string", "b": "string"} and len(calls) == 4
+    assert load.load_sas(spark, str(tmp_path / "x.sas7bdat"), cache=False, encodings=("cp1252",)).count() == 3
+    assert dates.year_month_from_single_date(dt.date(2001, 5, 9)) == (2001, 5)
+    assert show.df_types_dict(spark.createDataFrame([(1, dt.date(2000, 1, 1))], "a int, date date")) == {"a": "int"}
+
+
 def test_errors_of_several_regressors_equal_the_plain_formula(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(5, 1, (60, 2))
