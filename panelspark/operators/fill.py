@@ -20,8 +20,7 @@ def fillna_by_groups(df: DataFrame, byvars: str | Sequence[str], exclude_cols: s
     """
     df, keys, skipped = nan_to_null(df), listed(byvars), listed(exclude_cols)
     df = df.filter(present(keys))
-    w = by(keys)
-    full = w.orderBy(*([col(c) for c in listed(orderby)] or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = [col(c) for c in listed(orderby)]
     done = {}
     for field in df.schema:
         c = field.name
@@ -29,14 +28,18 @@ def fillna_by_groups(df: DataFrame, byvars: str | Sequence[str], exclude_cols: s
             continue
         rule = num_vars if isinstance(field.dataType, T.NumericType) else str_vars
         if rule in ("first", "last"):
-            value = (F.first if rule == "first" else F.last)(col(c), True).over(full)
+            place = F.when(col(c).isNotNull(), F.struct(*order)) if order else None
+            done[c] = (F.first if rule == "first" else F.last)(col(c), True) if place is None else (F.min_by if rule == "first" else F.max_by)(col(c), place)
         elif rule in _NUMERIC and isinstance(field.dataType, T.NumericType):
-            value = _NUMERIC[rule](col(c)).over(w)
+            done[c] = _NUMERIC[rule](col(c))
         else:
             raise ValueError(f"unknown fill rule {rule!r} for {c}")
-        done[c] = F.coalesce(col(c), value)
     rest = [c for c in df.columns if c not in keys]
-    return df.withColumns(done).select(*map(col, keys), *map(col, rest))
+    if done:
+        # One value for each group and column, added up before the shuffle and joined back.
+        groups = df.groupBy(*map(col, keys)).agg(*(x.alias(f"__fill{i}") for i, x in enumerate(done.values())))
+        df = join_keys(df, groups, keys, null_safe=False).withColumns({c: F.coalesce(col(c), F.col(f"__fill{i}")) for i, c in enumerate(done)})
+    return df.select(*map(col, keys), *map(col, rest))
 
 
 def fillna_by_groups_and_keep_one_per_group(df: DataFrame, byvars: str | Sequence[str], exclude_cols: str | Sequence[str] | None = None, str_vars: str = "first", num_vars: str = "mean", orderby: str | Sequence[str] | None = None) -> DataFrame:
