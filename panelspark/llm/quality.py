@@ -4,13 +4,17 @@ Shallow boosted trees over text statistics are grown on a bounded sample of labe
 nodes is a rule, a conjunction of comparisons. An L1-penalised logistic regression over the rules keeps few of them,
 and the kept rules become one Spark column expression over the statistics' columns.
 
-Defined cases: null and empty texts have statistics 0 and get the score of such a text; repeated rows get equal scores;
-clashing column names of the input are kept apart from the statistics, which live in one struct; without labels of
-both kinds fitting raises ValueError; an empty table gives no rows.
+Defined cases: null and empty texts have statistics 0 and get the score of such a text; very long texts are measured
+whole; repeated rows get equal scores; of conflicting labels of one doc_id 1 holds, and of several texts of a labelled
+doc_id the one of least hash is learned from; labels of a null doc_id are left out; of equally good splits a tree takes
+the first in the order of the statistics; a score of exactly 0.5 predicts 1; clashing column names of the input are
+kept apart from the statistics, which live in one struct; without labels of both kinds fitting raises ValueError; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WHITE, run_hashes, text_chunks, word_spans
+from .common import LOWER, WHITE, run_hashes, small_batches, text_chunks, word_spans
 
-#: At most this many labelled rows are collected to fit the rules, those of least hash.
+#: The rules are fitted in one task on at most this many labelled documents, those of least hash.
 SAMPLE = 12_000
 DEPTH = 3
 TREES = 40
@@ -132,13 +136,6 @@ class Rule:
     tests: tuple[tuple[str, bool, float], ...]
     weight: float = 0.0
 
-    def column(self, struct: str) -> Column:
-        out = F.lit(True)
-        for name, above, threshold in self.tests:
-            value = F.col(f"{struct}.{name}")
-            out = out & (value > threshold if above else value <= threshold)
-        return out
-
     def holds(self, x: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), dtype=bool)
         for name, above, threshold in self.tests:
@@ -153,11 +150,32 @@ class RuleEnsemble:
     rules: tuple[Rule, ...]
 
     def score(self, struct: str) -> Column:
-        """The probability of label 1 as an expression over the statistics."""
-        total = F.lit(self.intercept)
+        """The probability of label 1 as one expression over the statistics.
+
+        Rules that begin with the same tests share them: a test is one IF, with the weights of the rules that end there
+        and the IFs of those that go on. So the expression has a node for each distinct test, not for each rule.
+        """
+        top: dict = {}
         for rule in self.rules:
-            total = total + F.when(rule.column(struct), F.lit(rule.weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            place = top
+            for name, above, threshold in rule.tests:
+                place = place.setdefault((name, threshold), ({}, {}))[not above]
+            place["weight"] = place.get("weight", 0.0) + rule.weight
+
+        def compiled(place: dict) -> Column | None:
+            terms = [F.lit(place["weight"])] if "weight" in place else []
+            for test, sides in place.items():
+                if test != "weight":
+                    yes, no = map(compiled, sides)
+                    above = F.col(f"{struct}.{test[0]}") > test[1]
+                    zero = F.lit(0.0)
+                    terms.append(F.when(above, zero if yes is None else yes).otherwise(zero if no is None else no))
+            while len(terms) > 1:  # added up by halves, to keep the expression flat
+                terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) - len(terms) % 2 :]
+            return terms[0] if terms else None
+
+        total = compiled(top)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.intercept) if total is None else F.lit(self.intercept) + total)))
 
 
 def _split(x: np.ndarray, target: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
@@ -191,21 +209,32 @@ def _grow(x: np.ndarray, target: np.ndarray, rows: np.ndarray, path: tuple, dept
         _grow(x, target, rows[above == side], own, depth - 1, rules, fitted)
 
 
+def _largest(z: np.ndarray, steps: int = 50) -> float:
+    """The largest eigenvalue of the mean outer product of z's rows with a constant 1 before them, by power steps."""
+    v, c, found = np.ones(z.shape[1], dtype=z.dtype), 1.0, 0.0
+    for _ in range(steps):
+        ahead = z @ v + c
+        v, c = z.T @ ahead / len(z), float(ahead.mean())
+        found = float(np.sqrt(v @ v + c * c))
+        v, c = v / z.dtype.type(found), c / found
+    return found
+
+
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic weights under an L1 penalty, by accelerated proximal gradient steps."""
-    rate = 4.0 / max(np.linalg.norm(np.c_[np.ones(len(z)), z], 2) ** 2 / len(z), 1e-9)
-    w = np.zeros(z.shape[1])
+    rate = 4.0 / max(1.05 * _largest(z), 1e-9)
+    w = np.zeros(z.shape[1], dtype=z.dtype)
     b = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
         gap = 1 / (1 + np.exp(-(z @ v + c))) - y
-        nw = v - rate * (z.T @ gap) / len(z)
+        nw = v - rate * (z.T @ gap.astype(z.dtype)) / len(z)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
         nb = c - rate * gap.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        v, c = (nw + (t - 1) / nt * (nw - w)).astype(z.dtype), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    return b, w
+    return float(b), w
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, penalty: float = 0.0008, seed: int = 1) -> RuleEnsemble:
@@ -229,28 +258,44 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, penalty: float =
                 step[deepest] = residual[deepest].mean()
         logit += 0.5 * 4 * step
     rules = [Rule(p) for p in sorted(paths)]
-    held = np.stack([r.holds(x) for r in rules], axis=1) if rules else np.zeros((len(y), 0), dtype=bool)
-    keep, seen = [], set()
-    for k in range(held.shape[1]):
-        mark = held[:, k].tobytes()
-        if mark not in seen:
-            seen.add(mark)
-            keep.append(k)
-    b, w = _lasso(held[:, keep].astype(np.float64), y.astype(np.float64), penalty)
-    return RuleEnsemble(b, tuple(Rule(rules[k].tests, float(v)) for k, v in zip(keep, w) if v))
+    # Of rules that hold for the same rows the first is kept.
+    distinct = {}
+    for rule in rules:
+        distinct.setdefault(np.packbits(rule.holds(x)).tobytes(), rule)
+    rules = list(distinct.values())
+    held = np.empty((len(y), len(rules)), dtype=np.float32)
+    for k, rule in enumerate(rules):
+        held[:, k] = rule.holds(x)
+    b, w = _lasso(held, y.astype(np.float64), penalty)
+    return RuleEnsemble(b, tuple(Rule(rule.tests, float(v)) for rule, v in zip(rules, w) if v))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, seed: int = 1) -> RuleEnsemble:
-    """Fit on docs (doc_id, text) with a non-null label 0 or 1; `most` bounds the rows that the driver gets."""
-    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-    total = marked.count()
-    # About `most` rows are let through by the hash of their id before their texts are read.
-    share = min(1.0, most / max(total, 1))
-    marked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["doc_id"])
-    # What passed is about `most` rows by construction, so it may be sent to every executor.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
-    got = with_statistics(rows).select("y", "doc_id", *(F.col(f"__statistics.{s}") for s in STATISTICS)).toPandas().sort_values(["doc_id", "n_bytes"])
-    return fit_rules(got[list(STATISTICS)].to_numpy(), got["y"].to_numpy(), seed=seed)
+    """Fit on docs (doc_id, text) with a non-null label 0 or 1, on the `most` labelled ids of least hash; the driver gets the rules."""
+    small_batches(docs.sparkSession)
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("double")).alias("y"))
+    chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # `most` rows at most
+    one = with_statistics(rows).groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("__statistics").alias("x"))).alias("own"))
+    columns = one.select("y", "doc_id", *(F.col(f"own.x.{s}").alias(s) for s in STATISTICS))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("y", pa.float64()), ("doc_id", pa.int64()), *((s, pa.float64()) for s in STATISTICS)])).sort_by("doc_id")
+        y = got["y"].to_numpy()
+        if len(set(y.tolist())) == 2:
+            model = fit_rules(np.stack([got[s].to_numpy() for s in STATISTICS], axis=1), y, seed=seed)
+            found = [json.dumps([model.intercept, [[rule.tests, rule.weight] for rule in model.rules]])]
+        else:
+            found = []
+        yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["model"])
+
+    held = columns.repartition(1).mapInArrow(fitted, "model string").collect()
+    if not held:
+        raise ValueError("labels of both kinds are needed")
+    intercept, rules = json.loads(held[0]["model"])
+    return RuleEnsemble(intercept, tuple(Rule(tuple(tuple(t) for t in tests), weight) for tests, weight in rules))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
@@ -258,4 +303,5 @@ def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     struct = "__statistics"
     score = model.score(struct)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", struct)]
-    return with_statistics(docs, struct).select(*(F.col(f"`{c}`") for c in kept), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    rows = with_statistics(docs, struct).select(*(F.col(f"`{c}`") for c in kept), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
