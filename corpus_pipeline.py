@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of docs,
 whatever other names they carry. Rows with a null doc_id stay unless their text is rejected.
+
+Defined cases: a null or empty text passes or fails the quality stage as its rules say, is dropped by the language
+stage (it has no letter), has no duplicates and no benchmark words, and is packed as its end id alone; very long texts
+are taken whole; rows that repeat a doc_id count as one document for the near duplicates, where rows with different
+texts all stay or all go and equal ones are kept once; ties are those of the operators; an empty table passes every
+stage as an empty table, as the models are learned from sf_dir.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates; of rows with one doc_id, one stays."""
+    """Keeps the document of smallest doc_id of each group of near duplicates; of its rows with equal texts one stays."""
     found = stored(neardup.near_duplicates(docs.select("doc_id", "text")), "near_duplicates")
     dropped = stored(found.filter("not kept").select("doc_id").distinct(), "dropped")
     kept = docs.join(broadcast_if_small(dropped, dropped.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
@@ -50,13 +56,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if not n:
         return kept
     held = broadcast_if_small(repeated, n, BROADCAST_ROWS)
-    once = kept.join(held, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = kept.join(held, "doc_id", "left_semi").select(*docs.columns)
+    # Rows with one doc_id and one text are copies: the one whose columns have the least hash stays.
+    ordered = F.struct(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    once = again.groupBy(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie")).agg(F.min(ordered).alias("own"))
+    once = once.select(*(F.col(f"own.c{k}").alias(c) for k, c in enumerate(docs.columns)))
     return kept.join(held, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which a twentieth or more are words of benchmark windows."""
-    found = decontam.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontam.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slack=None)
     dropped = stored(found.filter("contaminated").select(F.col("doc_id").alias("bad_id"), "tie").distinct(), "contaminated")
     held = broadcast_if_small(dropped, dropped.count(), BROADCAST_ROWS)
     same = docs["doc_id"].cast("long").eqNullSafe(held["bad_id"]) & (F.xxhash64(docs["text"]) == held["tie"])
