@@ -7,15 +7,20 @@ the largest page_id; the others are revisit records that refer to it.
 Files appear under their final names only when they are complete: a task that is run again writes its own temporary
 file and renames it over the same name. Paths are Hadoop-style URIs in a folder that all executors share.
 
-Defined cases: a null html is an empty payload; rows that repeat page_id and payload give one response, the rest revisit
-it; a null page_id is archived without an id and read back as null; a null url becomes an empty target URI; columns
-other than page_id, url and html are ignored; an empty table gives no records.
+Defined cases: a null or empty html is an empty payload; very long payloads are archived whole; rows that repeat page_id
+and payload give one response, the rest revisit it (which of the equal rows is the response doesn't show); a null
+page_id is archived without an id, read back as null and smaller than any other: if all records of a payload have none,
+one is the response and the others are revisits that refer to null; a null url becomes an empty target URI; columns
+other than page_id, url and html are ignored, whatever their names; with fewer than LEAST_SAMPLE payloads to train on
+the dictionary is empty, and records are compressed without one; an empty table gives no records. A file that ends
+within a record, or holds fewer records than were written to it, raises ValueError.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,7 +37,7 @@ from .common import parts, shared_folder, stored
 #: The skippable frame that holds a dictionary, as the format for Zstandard-compressed WARC files has it (fixed value).
 DICTIONARY_MAGIC = 0x184D2A5D
 #: The driver trains on at most SAMPLE payloads, the first SAMPLE_BYTES bytes of each; the archive holds whole payloads.
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16_384, 112_640
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEAST_SAMPLE = 1000, 16_384, 112_640, 20
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -48,7 +53,7 @@ def train(pages: DataFrame, seed: int = 1) -> bytes:
     rows = pages.select(F.substring(F.encode("html", "utf-8"), 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id", F.lit(seed)).alias("h"))
     rows = rows.filter((F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000) & (F.length("p") > 0)).orderBy("h").limit(SAMPLE)
     samples = [bytes(r["p"]) for r in rows.select("p").collect()]
-    if len(samples) < 20:
+    if len(samples) < LEAST_SAMPLE:
         return b""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -56,9 +61,8 @@ def train(pages: DataFrame, seed: int = 1) -> bytes:
         return b""  # too little data for a dictionary
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, revisit: bool = False, refers_to: int | None = None) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP head only."""
-    revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     name = "" if page_id is None else str(page_id)
@@ -73,7 +77,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
         f"WARC-Payload-Length: {size}",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page: {refers_to}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{digest}')}>"]
+        origin = "" if refers_to is None else str(refers_to)
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page: {origin}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{origin}:{digest}')}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -85,13 +90,13 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
     revisit = fields["WARC-Type"] == "revisit"
-    name = fields.get("WARC-Page-ID", "").strip()
+    name, origin = (fields.get(x, "").strip() for x in ("WARC-Page-ID", "WARC-Refers-To-Page"))
     return {
         "page_id": int(name) if name else None,
         "payload_bytes": int(fields["WARC-Payload-Length"]) if revisit else len(payload),
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else payload_digest(payload),
         "record_type": fields["WARC-Type"],
-        "refers_to": int(fields["WARC-Refers-To-Page"]) if revisit else None,
+        "refers_to": int(origin) if origin else None,
         "payload": None if revisit else payload,
     }
 
@@ -105,13 +110,16 @@ def write(pages: DataFrame, path: str, dictionary: bytes, least_revisit: int = 0
     spark = pages.sparkSession
     html = F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
-    digests = stored(rows.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")), "digests")
+    # Ids as text, null as the empty one, so that joins find them.
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("name")
+    digests = stored(rows.select(name, "page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")), "digests")
     repeated = digests.filter(F.col("size") >= least_revisit).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"))
     repeated = stored(repeated.filter("n > 1"), "repeated").select("sha", "keeper")
     # The payloads are dealt by page_id, which no group shares; only pages with a repeated payload have a keeper.
-    keepers = stored(digests.join(repeated, "sha").select("page_id", "sha", "keeper").distinct(), "keepers")
-    dealt = rows.withColumn("sha", F.sha1("payload")).repartition(parts(spark), "page_id", "sha")
-    dealt = dealt.join(keepers.hint("shuffle_merge"), ["page_id", "sha"], "left").sortWithinPartitions("page_id", "sha")
+    keepers = digests.join(repeated, "sha").select("name", "sha", "keeper", F.lit(True).alias("shared"))
+    keepers = stored(keepers.distinct(), "keepers")
+    dealt = rows.select(name, "page_id", "url", "payload", F.sha1("payload").alias("sha")).repartition(parts(spark), "name", "sha")
+    dealt = dealt.join(keepers.hint("shuffle_merge"), ["name", "sha"], "left").sortWithinPartitions("page_id", "sha")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,12 +136,12 @@ def write(pages: DataFrame, path: str, dictionary: bytes, least_revisit: int = 0
             packed = zstandard.ZstdCompressor(level=19).compress(dictionary)
             out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
             for batch in batches:
-                for page_id, url, payload, sha, keeper in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                for page_id, url, payload, sha, keeper, shared in zip(*(batch.column(k).to_pylist() for k in range(6))):
                     # Equal rows come one after the other: the first is the response.
-                    again = keeper is not None and (page_id != keeper or (page_id, sha) == before)
+                    again = shared is not None and (page_id != keeper or (page_id, sha) == before)
                     before = (page_id, sha)
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                    out.write(packer.compress(record(page_id, url, payload, digest, len(payload), keeper if again else None)))
+                    out.write(packer.compress(record(page_id, url, payload, digest, len(payload), again, keeper if again else None)))
                     n += 1
         if n:
             store.move(temporary, final)
@@ -141,7 +149,7 @@ def write(pages: DataFrame, path: str, dictionary: bytes, least_revisit: int = 0
             store.delete_file(temporary)
         yield pa.RecordBatch.from_arrays([pa.array([final] * bool(n), type=pa.string()), pa.array([n] * bool(n), type=pa.int64())], names=["file", "records"])
 
-    return dealt.select("page_id", "url", "payload", "sha", "keeper").mapInArrow(written, "file string, records long")
+    return dealt.select("page_id", "url", "payload", "sha", "keeper", "shared").mapInArrow(written, "file string, records long")
 
 
 def records(stream) -> Iterator[bytes]:
@@ -151,40 +159,47 @@ def records(stream) -> Iterator[bytes]:
         raise ValueError("the file doesn't begin with a dictionary")
     dictionary = zstandard.ZstdDecompressor().decompress(stream.read(size))
     own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    reader = zstandard.ZstdDecompressor(dict_data=own)
-    piece, waiting, done = reader.decompressobj(), b"", []
-    while True:
-        chunk = waiting or stream.read(1 << 20)
-        waiting = b""
-        if not chunk:
-            break
-        done.append(piece.decompress(chunk))
-        if piece.eof:
-            waiting = piece.unused_data
-            yield b"".join(done)
-            piece, done = reader.decompressobj(), []
+    frames = zstandard.ZstdDecompressor(dict_data=own).stream_reader(stream, read_size=1 << 16, read_across_frames=True)
+    # A record says how long it is, so the frames needn't be told apart.
+    with io.BufferedReader(frames, 1 << 16) as plain:
+        while line := plain.readline():
+            lines, length = [line], None
+            while line.strip():
+                line = plain.readline()
+                if not line:
+                    raise ValueError("the file ends within a record")
+                lines.append(line)
+                if line.startswith(b"Content-Length: "):
+                    length = int(line[16:])
+            block = plain.read(length + 4)
+            if len(block) < length + 4:
+                raise ValueError("the file ends within a record")
+            yield b"".join(lines) + block
 
 
 def read(spark: SparkSession, path: str, files: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row for each record of the listed files, a file to a task at a time."""
+    """One row for each record of the files (file, records), a file to a task at a time."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
     kinds = dict(page_id=pa.int64(), payload_bytes=pa.int64(), payload_digest=pa.string(), record_type=pa.string(), refers_to=pa.int64(), payload=pa.binary())
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _open(path)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                rows = []
+            for name, written in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, n = [], 0
                 with store.open_input_stream(name, compression=None) as stream:
                     for raw in records(stream):
                         rows.append(parse(raw))
+                        n += 1
                         if len(rows) == 500:
                             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=kinds[c]) for c in names], names=names)
                             rows = []
+                if n != written:
+                    raise ValueError(f"{name} holds {n} records, {written} were written")
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=kinds[c]) for c in names], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    spread = files.select("file").repartition(parts(spark), "file")
+    spread = files.select("file", "records").repartition(parts(spark), "file")
     return spread.mapInArrow(parsed, schema)
 
 
