@@ -1,39 +1,61 @@
 """Exact top-k BM25 search over sharded inverted indexes with block-max pruning.
 
-Documents are dealt to shards of bounded size. A shard's index has its terms' postings in blocks of documents, each
-with the largest impact of the term in the block. For a query the selective terms' postings are summed first; the
-frequent terms' block maxima bound what their blocks can add. A document is scored in full only if its sum and its
-block's bound together reach the k-th best score so far, as in WAND with block maxima, so the result is exact. The
-shards use the corpus's own document frequencies and mean length, and their lists are merged by score.
+Documents are dealt to shards of a bounded number of postings and documents. Within a shard they are ordered so that
+documents of like words stand together (by bisection along the direction in which they differ most, then by length),
+and cut into blocks; every term's postings have the largest impact of the term in each block. Long lists have their
+blocks laid out in full, beside their block maxima; in short ones, with far fewer postings than there are blocks, a
+block's maximum is as a rule its one posting, which is summed as it is.
+For a query, the block maxima of its terms add up to a bound on the scores in each block. Blocks are visited in order
+of their bounds: the pivot is the first block that the k-th best score so far doesn't rule out, blocks whose bound is
+below it are skipped, and the limit rises with every wave of blocks. This is block-max WAND with the lists aligned on
+blocks and pivots taken for a block, not a document, at a time; queries that begin with the same blocks share a wave's
+matrix product.
+Bounds are single precision rounded up; what may be among the best is scored again in double precision, so the result
+is exact. Shards use the corpus's own document frequencies and mean length, and their lists are merged by score.
+
+Of S shards, about the square root of S answer first. The k-th best score of their merged lists is each query's first
+limit in all the others, which prunes there, and makes them give only hits that are at least as good.
 
 Queries are whole texts, each distinct term weighted by its count in the query. Every shard reads the queries from a
-shared table a block at a time, so they are neither broadcast nor copied for each shard.
+shared table a batch at a time, so they are neither broadcast nor copied for each shard.
 
-Defined cases: a null or empty document has no words and matches nothing; a null or empty query gives no rows; fewer
-than k rows come back where fewer documents share a term with the query; ties go to the smaller doc_id, null first;
-rows that repeat a doc_id are hits of their own; other columns are ignored; an empty table gives no rows.
+Defined cases: a null or empty document has no words and matches nothing; very long texts are indexed and asked whole; a
+null or empty query gives no rows; fewer than k rows come back where fewer documents share a term with the query; ties
+(scores equal to nine digits) go to the smaller doc_id, null first; rows that repeat a doc_id are hits of their own;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, run_hashes, shared_folder, stored, text_chunks, word_spans
+from .common import LOWER, run_hashes, small_batches, stored, text_chunks, word_spans
 
 K1, B = 1.2, 0.75
-#: Documents of one shard: what one task indexes and holds in memory.
-SHARD = 20_000
-BLOCK = 128
-#: A term of at least this share of a shard's documents counts as frequent: its impacts are kept in blocks.
-FREQUENT = 1 / 32
+#: Postings of one shard: what one task indexes and holds in memory.
+POSTINGS = 2_000_000
+#: Documents of one shard, where they are short.
+DOCUMENTS = 8192
+#: Documents of a block.
+BLOCK = 16
+#: Documents of like words, and the terms by which they are told.
+CLUSTER, LIKENESS = 128, 256
+#: Lists of terms in more than this share of a shard's documents are long: they have several postings in many blocks.
+LONG = 1 / 64
+#: Cells (documents times terms) of the long lists that a shard lays out in full.
+DENSE = 8_000_000
+#: Queries that a shard reads together, and those of them that it answers together.
+READ, TOGETHER = 256, 64
+#: Stands for a null doc_id; null comes first among ties.
+NULL_ID = np.iinfo(np.int64).min
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[np.r_[48:58, 97:123, 128:256]] = False
@@ -54,99 +76,226 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.nd
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each term, for each run of texts."""
+    """Documents of each term, for each run of texts; the null term has the texts and their words."""
     for batch in batches:
-        for _, found, _ in _terms(batch.column(0)):
+        for _, found, sizes in _terms(batch.column(0)):
             keys, counts = np.unique(np.concatenate([t for t, _ in found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["term", "df"])
+            terms = pa.array(np.append(keys.view(np.int64), 0), mask=np.arange(len(keys) + 1) == len(keys))
+            words = np.zeros(len(keys) + 1, dtype=np.int64)
+            words[-1] = sizes.sum()
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.append(counts, len(found)).astype(np.int64)), pa.array(words)], names=["term", "df", "words"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, words, and the terms and counts as packed integers."""
+    """shard, doc_id, words, and the terms and counts as packed integers, of the texts with words."""
     for batch in batches:
-        for first, found, sizes in _terms(batch.column(1)):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(found)), pa.array(sizes.astype(np.int64)), pa.array([t.tobytes() for t, _ in found], type=pa.binary()), pa.array([c.astype(np.uint16 if c.max(initial=0) < 65536 else np.uint32).tobytes() for _, c in found], type=pa.binary())],
-                names=["doc_id", "size", "terms", "counts"],
-            )
+        for first, found, sizes in _terms(batch.column(2)):
+            packed = [pa.array([t.tobytes() for t, _ in found], type=pa.binary()), pa.array([c.astype(np.uint16 if c.max(initial=0) < 65536 else np.uint32).tobytes() for _, c in found], type=pa.binary())]
+            rows = pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(found)) for k in (0, 1)), pa.array(sizes.astype(np.int64)), *packed], names=["shard", "doc_id", "size", "terms", "counts"])
+            yield rows.filter(pa.array(sizes > 0))
+
+
+def _clustered(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows of x in an order in which like ones are near each other, by length within a cluster."""
+    out: list[np.ndarray] = []
+    waiting = [np.arange(len(x))]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= CLUSTER:
+            out.append(rows[np.argsort(sizes[rows], kind="stable")])
+            continue
+        own = x[rows]
+        own = own - own.mean(axis=0)
+        way = own[np.argmax((own * own).sum(axis=1))]
+        for _ in range(6):  # towards the direction of the largest variance
+            way = own.T @ (own @ way)
+            way = way / max(float(np.sqrt(way @ way)), 1e-30)
+        along = own @ way
+        order = np.argsort(along, kind="stable")
+        cut = int((along < 0).sum())
+        if min(cut, len(rows) - cut) < CLUSTER // 4:
+            cut = len(rows) // 2
+        waiting += [rows[order[cut:]], rows[order[:cut]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class ShardIndex:
-    """The inverted index of one shard, with impacts tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))."""
+    """The inverted index of one shard, with impacts tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)).
 
-    def __init__(self, doc_ids: np.ndarray, sizes: np.ndarray, terms: list[bytes], counts: list[bytes], mean: float):
-        self.doc_ids = doc_ids
-        n = len(doc_ids)
+    Documents with equal terms and counts are one row with several ids. Rows of like words are cut into blocks together.
+    """
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], mean: float):
+        """From batches (shard, doc_id, size, terms, counts) of one shard."""
+        rows: dict[tuple[bytes, bytes], int] = {}
+        ids, row_of, by_row = [], [], []
+        for batch in batches:
+            at = [rows.setdefault(key, len(rows)) for key in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            ids.append(batch.column(1).fill_null(NULL_ID).to_numpy())
+            row_of.append(np.array(at, dtype=np.int64))
+            by_row.append(batch.column(2).to_numpy())
+        n = self.n = len(rows)
+        self.doc_ids, row_of, by_row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, row_of, by_row))
+        doc_ids, sizes = self.doc_ids, np.zeros(n)
+        sizes[row_of] = by_row
+        terms, counts = [t for t, _ in rows], [c for _, c in rows]
+        del rows, ids, by_row
         lengths = np.array([len(t) // 8 for t in terms], dtype=np.int64)
         keys = np.frombuffer(b"".join(terms), dtype=np.uint64)
-        tf = np.concatenate([np.frombuffer(c, dtype=np.uint16 if 2 * m == len(c) else np.uint32).astype(np.float64) for c, m in zip(counts, lengths.tolist())]) if n else np.zeros(0)
-        docs = np.repeat(np.arange(n, dtype=np.int32), lengths)
-        impacts = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / mean))[docs])
+        common, df = np.unique(keys, return_counts=True)
+        common = np.sort(common[np.argsort(-df, kind="stable")[:LIKENESS]])
+        likeness = np.zeros((n, max(1, len(common))), dtype=np.float32)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+            there = common[at] == keys
+            likeness[np.repeat(np.arange(n), lengths)[there], at[there]] = 1
+            likeness /= np.maximum(1, np.sqrt(likeness.sum(axis=1, keepdims=True)))
+        order = _clustered(likeness, sizes)
+        del common, df, likeness, keys
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        some = order
+        # The ids of each row, in order.
+        members = np.lexsort((doc_ids, place[row_of])) if n else np.zeros(0, np.int64)
+        self.members = members
+        self.first_member = np.searchsorted(place[row_of][members], np.arange(n + 1))
+        self.n_blocks = -(-max(n, 1) // BLOCK)
+        self.norm = np.ones(self.n_blocks * BLOCK)
+        self.norm[:n] = K1 * (1 - B + B * sizes[some] / mean)
+        lengths = np.array([len(terms[k]) // 8 for k in some.tolist()], dtype=np.int64)
+        keys = np.frombuffer(b"".join([terms[k] for k in some.tolist()]), dtype=np.uint64)
+        tf = np.concatenate([np.frombuffer(counts[k], dtype=np.uint16 if 2 * m == len(counts[k]) else np.uint32).astype(np.uint32) for k, m in zip(some.tolist(), lengths.tolist())]) if n else np.zeros(0, np.uint32)
         order = np.argsort(keys, kind="stable")
-        keys, docs, impacts = keys[order], docs[order], impacts[order]
+        self.tf = tf[order]
+        self.docs = np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
+        keys = keys[order]
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         self.keys = keys[edges]
         self.starts = np.append(edges, len(keys))
-        self.docs, self.impacts = docs, impacts
-        self.frequent = np.full(len(self.keys), -1, dtype=np.int64)
-        often = np.flatnonzero(np.diff(self.starts) >= max(FREQUENT * n, 8))
-        self.frequent[often] = np.arange(len(often))
-        self.n_blocks = -(-max(n, 1) // BLOCK)
-        self.dense = np.zeros((self.n_blocks * BLOCK, len(often)))
+        del keys, order, tf
+        # Long lists, as many as DENSE cells hold, have their blocks laid out in full.
+        df = np.diff(self.starts)
+        often = np.argsort(-df, kind="stable")[: max(1, DENSE // len(self.norm))]
+        often = often[df[often] > LONG * len(self.norm)]
+        self.column = np.full(len(self.keys), -1, dtype=np.int64)
+        self.column[often] = np.arange(len(often))
+        self.counts = np.zeros((len(self.norm), len(often)), dtype=np.uint16 if self.tf.max(initial=0) < 65536 else np.uint32)
+        self.impacts = np.zeros((len(self.norm), len(often)), dtype=np.float32)
         for k, t in enumerate(often.tolist()):
             own = slice(self.starts[t], self.starts[t + 1])
-            self.dense[docs[own], k] = impacts[own]
-        self.block_max = self.dense.reshape(self.n_blocks, BLOCK, -1).max(axis=1)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the best k documents with a positive score."""
-        n = len(self.doc_ids)
-        if not n or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.searchsorted(self.keys, terms)
-        at[at == len(self.keys)] = 0
+            self.counts[self.docs[own], k] = self.tf[own]
+            self.impacts[self.docs[own], k] = self._impact(self.tf[own], self.docs[own])
+        # Upper bounds, rounded up.
+        self.block_max = np.nextafter(self.impacts.reshape(self.n_blocks, BLOCK, -1).max(axis=1), np.float32(4))
+        #: Scores computed, those that a bound called for, and all there were: what pruning saved.
+        self.scored = self.reached = self.open = 0
+
+    def _impact(self, tf: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + self.norm[docs])
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, limits: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the ids and scores of the best k documents with a positive score.
+
+        Where a limit is given, documents with a lower score aren't wanted.
+        """
+        limits = np.zeros(len(queries)) if limits is None else limits
+        if not self.n or not len(self.keys) or not queries:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        m, width = len(queries), len(self.norm)
+        owner = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        at = np.minimum(np.searchsorted(self.keys, terms), len(self.keys) - 1)
         there = self.keys[at] == terms
-        at, weights = at[there], weights[there]
-        often = self.frequent[at]
-        dense = often >= 0
-        columns, column_weights = often[dense], weights[dense]
-        rare, rare_weights = at[~dense], weights[~dense]
-        starts, ends = self.starts[rare], self.starts[rare + 1]
-        if len(rare):
-            lengths = ends - starts
-            places = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            sums = np.bincount(self.docs[places], weights=self.impacts[places] * np.repeat(rare_weights, lengths), minlength=n)
-        else:
-            sums = np.zeros(n)
-        if not len(columns):
-            found = np.flatnonzero(sums > 0)
-            return self._best(found, sums[found], k)
-        w = np.zeros(self.dense.shape[1])
-        w[columns] = column_weights
-        bound = np.repeat(self.block_max @ w, BLOCK)[:n] + sums
-        # The most promising documents set the threshold; then every document whose bound reaches it is scored.
-        seeds = np.argpartition(-bound, min(4 * k, n - 1))[: 4 * k]
-        seed_scores = sums[seeds] + self.dense[seeds] @ w
-        least = np.partition(seed_scores, -k)[-k] if len(seeds) >= k else 0.0
-        open_docs = np.flatnonzero(bound >= least * (1 - 1e-12) - 1e-12)
-        if 4 * len(open_docs) > n:
-            scores = (self.dense @ w)[open_docs] + sums[open_docs]
-        else:
-            scores = self.dense[open_docs] @ w + sums[open_docs]
-        some = scores > 0
-        return self._best(open_docs[some], scores[some], k)
-
-    def _best(self, found: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.round(scores, 9)  # sums in another order may differ in the last bits
-        order = np.lexsort((self.doc_ids[found], -scores))[:k]
-        return found[order], scores[order]
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank (from 1), doc_id and score of the best k documents of each query row's whole text."""
+        owner, at, weights = owner[there], at[there], weights[there]
+        column = self.column[at]
+        # In short lists a block's maximum is its posting, so they are summed as they are, for some queries at a time.
+        short = column < 0
+        sums = np.zeros((m, width))
+        for a in range(0, m, TOGETHER):
+            own = slice(*np.searchsorted(owner, (a, a + TOGETHER)))
+            lists = at[own][short[own]]
+            starts, counts = self.starts[lists], self.starts[lists + 1] - self.starts[lists]
+            ends = np.cumsum(counts)
+            places = np.repeat(starts - (ends - counts), counts) + np.arange(counts.sum())
+            docs = self.docs[places]
+            cell = np.repeat((owner[own][short[own]] - a) * width, counts) + docs
+            sums[a : a + TOGETHER] = np.bincount(cell, weights=self._impact(self.tf[places], docs) * np.repeat(weights[own][short[own]], counts), minlength=min(TOGETHER, m - a) * width).reshape(-1, width)
+            del places, docs, cell
+        exact = np.zeros((m, self.impacts.shape[1]))
+        exact[owner[~short], column[~short]] = weights[~short]
+        # What single precision may be off by, relative to a sum of positive numbers.
+        slack = (self.impacts.shape[1] + 8) * 2.0**-23
+        bounds = (exact.astype(np.float32) @ self.block_max.T) * (1 + slack) + sums.reshape(m, self.n_blocks, BLOCK).max(axis=2) * (1 + slack)
+        out: list[tuple[np.ndarray, np.ndarray]] = [None] * m
+        alike = np.argsort(bounds.argmax(axis=1), kind="stable")
+        for a in range(0, m, TOGETHER):
+            own = alike[a : a + TOGETHER]
+            for x, found in zip(own.tolist(), self._best(exact[own], sums[own], bounds[own], limits[own], slack, k)):
+                out[x] = found
+        return out
+
+    def _best(self, exact: np.ndarray, sums: np.ndarray, bounds: np.ndarray, limits: np.ndarray, slack: float, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best k of some queries, from their weights in the long lists, their sums over the short ones and their bounds."""
+        m = len(exact)
+        wanted = exact.astype(np.float32)
+        # Blocks in order of their bounds, some at a time; a block is passed over by each query whose limit it can't reach.
+        order = np.argsort(-bounds.max(axis=0), kind="stable")
+        # Ranks are by scores rounded to nine digits, so a limit is a rounding step below the score.
+        limit, best = np.maximum(limits - 1e-8, 0), np.zeros((m, k))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        done, step = 0, max(1, self.n_blocks // 32)
+        while done < self.n_blocks:
+            wave = order[done : done + step]
+            done, step = done + step, max(step, min(2 * step, self.n_blocks // 8))
+            reach = (bounds[:, wave] >= limit[:, None] * (1 - 2 * slack)) & (bounds[:, wave] > 0)
+            asking, wave = np.flatnonzero(reach.any(axis=1)), wave[reach.any(axis=0)]
+            if not len(asking):
+                continue
+            rows = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            scores = wanted[asking] @ self.impacts[rows].T + sums[asking][:, rows]
+            self.scored += scores.size
+            top = np.partition(np.concatenate((best[asking], scores), axis=1), scores.shape[1], axis=1)[:, -k:]
+            best[asking] = top
+            limit[asking] = np.maximum(top.min(axis=1) - 1e-8, limit[asking])
+            q, d = np.nonzero((scores >= (limit[asking] * (1 - 2 * slack))[:, None]) & (scores > 0))
+            found.append((asking[q], rows[d], scores[q, d]))
+        self.reached += int(((bounds >= limit[:, None] * (1 - 2 * slack)) & (bounds > 0)).sum()) * BLOCK
+        self.open += m * len(self.norm)
+        if not found:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        q, d, s = (np.concatenate(x) for x in zip(*found))
+        stay = s >= limit[q] * (1 - 2 * slack)
+        q, d = q[stay], d[stay]
+        # The candidates' scores in double precision, by the counts themselves.
+        score = sums[q, d]
+        for a in range(0, len(q), 1000):
+            own = slice(a, a + 1000)
+            tf = self.counts[d[own]].astype(np.float64)
+            score[own] += (tf * (K1 + 1) / (tf + self.norm[d[own]][:, None]) * exact[q[own]]).sum(axis=1)
+        score = np.round(score, 9)  # sums in another order may differ in the last bits
+        # A row's ids in order, k of them at most: more can't be among the best k.
+        copies = np.minimum(self.first_member[d + 1] - self.first_member[d], k)
+        ends = np.cumsum(copies)
+        ids = self.doc_ids[self.members[np.repeat(self.first_member[d] - (ends - copies), copies) + np.arange(copies.sum())]]
+        q, score = np.repeat(q, copies), np.repeat(score, copies)
+        ranked = np.lexsort((ids, -score, q))
+        q, ids, score = q[ranked], ids[ranked], score[ranked]
+        first = np.searchsorted(q, np.arange(m + 1))
+        return [(ids[a : min(a + k, b)], score[a : min(a + k, b)]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, postings: int = POSTINGS) -> DataFrame:
+    """query_id, rank (from 1), doc_id and score of the best k documents of each query row's whole text.
+
+    A shard has about `postings` postings and at most about DOCUMENTS documents: what one task indexes and holds in memory.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.col("text").cast("string").alias("text")
-    frequency = docs.select(text).mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    frequency = docs.select(text).mapInArrow(_frequencies, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+    frequency = stored(frequency, "frequencies")
+    row = frequency.agg(F.sum(F.when(F.col("term").isNull(), F.col("df"))).alias("total"), F.sum("words").alias("words"), F.sum(F.when(F.col("term").isNotNull(), F.col("df"))).alias("postings")).first()
+    total, mean_size, shards = row["total"] or 0, max(1.0, (row["words"] or 0) / max(1, row["total"] or 0)), max(1, -(-(row["postings"] or 0) // postings), -(-(row["total"] or 0) // DOCUMENTS))
     asked = queries.select(F.col("doc_id").cast("long").alias("query_id"), text).withColumn("query", F.monotonically_increasing_id())
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,48 +309,45 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 )
 
     each = stored(asked.select("query", "query_id", "text").mapInArrow(opened, "query long, query_id long, term long, tf int"), "query_terms")
-    held = stored(frequency.join(each.select("term").distinct(), "term", "left_semi"), "frequencies")
-    total = docs.select(F.col("doc_id")).count()
+    held = stored(frequency.select("term", "df").join(each.select("term").distinct(), "term", "left_semi"), "query_frequencies")
     idf = F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = each.join(held, "term").select("query", "query_id", "term", (idf * F.col("tf")).alias("weight"))
     grouped = weighted.groupBy("query").agg(F.first("query_id").alias("query_id"), F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
-    path = shared_folder(spark, "weights")
-    grouped.repartition(max(1, total // 500_000)).write.option("compression", "zstd").parquet(path)
-
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_counted, "doc_id long, size long, terms binary, counts binary")
-    shards = max(1, -(-total // SHARD))
-    mean_size = _mean_size(docs)
-
-    def searched(shard: pd.DataFrame) -> pd.DataFrame:
-        ids = shard["doc_id"].astype("Int64")
-        keys = np.where(ids.isna(), np.iinfo(np.int64).min, ids.fillna(0)).astype(np.int64)
-        index = ShardIndex(keys, shard["size"].to_numpy(np.float64), shard["terms"].tolist(), shard["counts"].tolist(), mean_size)
-        del shard
-        store, base = pafs.FileSystem.from_uri(path)
-        out: list[tuple] = []
-        for batch in ds.dataset(base, filesystem=store, format="parquet").to_batches(batch_size=256, columns=["query", "query_id", "terms", "weights"]):
-            names, query_ids, terms, weights = batch.columns
-            for name, query_id, t, w in zip(names.to_pylist(), query_ids.to_pylist(), terms, weights):
-                found, scores = index.search(t.values.to_numpy().view(np.uint64), w.values.to_numpy(), k)
-                out.append((np.full(len(found), name), np.full(len(found), -1 if query_id is None else query_id), keys[found], scores))
-        if not out:
-            return pd.DataFrame({c: [] for c in ("query", "query_id", "doc_id", "score")})
-        columns = [np.concatenate(c) for c in zip(*out)]
-        frame = pd.DataFrame(dict(zip(("query", "query_id", "doc_id", "score"), columns)))
-        frame["doc_id"] = frame["doc_id"].astype("Int64").mask(frame["doc_id"] == np.iinfo(np.int64).min)
-        return frame
-
-    dealt = counted.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "terms"), F.lit(shards)).cast("int"))
-    lists = dealt.groupBy("shard").applyInPandas(searched, "query long, query_id long, doc_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first()))
-    return lists.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    grouped = stored(grouped.repartition(max(1, total // 500_000)), "weights")
+    tied = F.xxhash64("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).select(F.pmod(tied, F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
 
+    def lists(rows: DataFrame, first: int, count: int, asked: DataFrame) -> DataFrame:
+        """The best k of each of `count` shards from the first on; a partition is a shard."""
+        path = asked._panelspark_path
 
-def _mean_size(docs: DataFrame) -> float:
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = sum(int(len(word_spans(LOWER[raw], offsets, _GAP)[0])) for _, raw, offsets in text_chunks(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([n], type=pa.int64()), pa.array([batch.num_rows], type=pa.int64())], names=["n", "rows"])
+        def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ShardIndex(batches, mean_size)
+            if not index.n:
+                return
+            store, base = pafs.FileSystem.from_uri(path)
+            for batch in ds.dataset(base, filesystem=store, format="parquet").to_batches(batch_size=READ, columns=["query", "query_id", "terms", "weights", "least"]):
+                if not batch.num_rows:
+                    continue
+                names, query_ids, terms, weights, least = batch.columns
+                found = index.search([(t.values.to_numpy().view(np.uint64), w.values.to_numpy()) for t, w in zip(terms, weights)], k, least.to_numpy())
+                rows_of = np.repeat(np.arange(len(found)), [len(ids) for ids, _ in found])
+                ids = np.concatenate([ids for ids, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(rows_of)), query_ids.take(pa.array(rows_of)), pa.array(ids, mask=ids == NULL_ID), pa.array(np.concatenate([x for _, x in found]))],
+                    names=["query", "query_id", "doc_id", "score"],
+                )
 
-    row = docs.select(F.col("text").cast("string")).mapInArrow(sized, "n long, rows long").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
-    return max(1.0, (row["n"] or 0) / max(1, row["rows"] or 0))
+        own = rows.filter((F.col("shard") >= first) & (F.col("shard") < first + count)).mapInArrow(_counted, "shard int, doc_id long, size long, terms binary, counts binary")
+        return own.repartitionById(count, F.col("shard") - first).mapInArrow(searched, "query long, query_id long, doc_id long, score double")
+
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first()))
+    ahead = math.isqrt(shards - 1) + 1
+    best = lists(dealt, 0, ahead, stored(grouped.withColumn("least", F.lit(0.0)), "asked_first")).withColumn("rank", rank).filter(F.col("rank") <= k)
+    if ahead < shards:
+        best = stored(best, "first_lists")
+        reached = best.filter(F.col("rank") == k).select("query", F.col("score").alias("least"))
+        asked = stored(grouped.join(reached, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "asked")
+        rest = lists(dealt, ahead, shards - ahead, asked)
+        best = best.drop("rank").unionByName(rest).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "doc_id", "score")

@@ -60,7 +60,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most `rows` rows in an Arrow batch, so that long texts don't fill a worker's memory."""
+    """At most `rows` rows in an Arrow batch, so that long texts don't fill a worker's memory.
+
+    This is a setting of the session, and stays: plans that are made lazily run with it later.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
@@ -80,7 +83,7 @@ def bucket_of_id(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole texts as (first row, bytes, offsets); a text longer than most_bytes is a run of its own.
 
     offsets[i]:offsets[i + 1] are the bytes of text first row + i. A null has no bytes.
@@ -124,10 +127,10 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 21) + 1, base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 20) + 1, base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 22:
             _powers[int(base)] = have
     return have
 
