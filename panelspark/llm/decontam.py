@@ -5,9 +5,11 @@ words. Its postings are intersected from the rarest term on, each list shifted b
 what survives is an occurrence of the phrase, and is confirmed on the document's own words. Nothing is dealt by term,
 so a term or passage that fills a third of the rows doesn't meet in one task.
 
-Defined cases: a null or empty text has no words and no hits; an item without words has no windows, one with fewer
-words than `width` is one window; rows that repeat a doc_id are told apart by their text, and equal rows get equal
-results; a null doc_id is a document of its own text; columns other than doc_id, text, item_id are ignored.
+Defined cases: a null or empty text has no words and no hits; very long texts are searched whole; an item without words
+has no windows, one with fewer words than `width` is one window; items of equal words are each counted; of equally rare
+terms of a window the first is taken first, which changes no result; rows that repeat a doc_id are told apart by their
+text, and equal rows get equal results; a null doc_id is a document of its own text; columns other than doc_id, text,
+item_id are ignored, whatever their names; an empty table of documents gives no rows, one of items no hits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import broadcast_if_small, stored
 #: Runs of ASCII that end a word once A-Z are lower case: all but 0-9 and a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
-#: Windows, terms and candidate rows that may be broadcast; beyond it Spark joins by shuffle.
+#: Words, terms and candidate rows that may be broadcast (some 20 MB); beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,19 +54,24 @@ def _shifted(index: DataFrame, found: DataFrame, n: int) -> DataFrame:
     return index.join(broadcast_if_small(found, n, BROADCAST_ROWS), "term").select("doc_id", "tie", "window", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lists: int = 3) -> tuple[DataFrame, DataFrame]:
+def inverted_index(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of all benchmark words, and the number of postings of each term that has any."""
+    terms = benchmark.select(F.explode(words(F.col("text"))).alias("word")).distinct().withColumn("term", F.xxhash64("word"))
+    terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).cast("long").alias("term")))
+    terms = stored(terms, "terms")
+    index = stored(postings(docs, terms, terms.count()), "postings")
+    return index, stored(index.filter("term != 0").groupBy("term").agg(F.count("*").alias("df")), "frequency")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lists: int = 3, index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The occurrences (doc_id, tie, item_id, start, length) of all windows, and each row's word count.
 
     lists is how many posting lists are intersected before the words themselves are compared.
     """
+    index, frequency = index or inverted_index(docs, benchmark)
     runs = stored(windows(benchmark, width), "windows")
     n_runs = runs.count()
-    terms = runs.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.xxhash64("word"))
-    terms = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).cast("long").alias("term")))
-    terms = stored(terms, "terms")
-    index = stored(postings(docs, terms, terms.count()), "postings")
     counts = index.filter("term = 0").select("doc_id", "tie", F.col("pos").cast("long").alias("n_words"))
-    frequency = stored(index.filter("term != 0").groupBy("term").agg(F.count("*").alias("df")), "frequency")
     # Rank the terms of each window by their number of postings; a term without postings ends the window.
     offsets = runs.select("window", F.size("terms").alias("k"), F.posexplode("terms").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
     ranked = offsets.join(frequency, "term", "left")
@@ -86,52 +93,79 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lists: in
     held = broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS)
     own = texts.join(held, null_safe(texts, held), "left_semi").dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", words(F.col("text")).alias("words"))
     own = stored(own, "words")
-    near = candidates.join(broadcast_if_small(runs, n_runs, BROADCAST_ROWS), "window")
+    near = candidates.join(broadcast_if_small(runs, n_runs * width, BROADCAST_ROWS), "window")
     joined = near.join(own, null_safe(near, own)).drop(own["doc_id"]).drop(own["tie"])
     exact = joined.filter(F.slice("words", F.col("start") + 1, F.size("terms")) == F.col("terms"))
     return stored(exact.select("doc_id", "tie", "item_id", "start", F.size("terms").alias("length")), "matches"), counts
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 8) -> DataFrame:
+def proximity(docs: DataFrame, benchmark: DataFrame, slack: int = 8, lists: int = 3, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(doc_id, item_id, first, last): places that hold all distinct words of an item within its length plus slack.
 
-    The same postings serve it. Those of an item's terms within reach of a posting of its rarest term are taken in
-    order of position; where each one ends a window, the latest place of every other term so far gives the shortest
-    window, so no window is lost. Every place between first and last that ends such a window has its own row.
+    The same postings serve it. Postings of an item's rarest term stay where the next rarer terms, `lists` in all, lie
+    within reach. For these, the postings of the item's other terms within reach are taken in order of position; where
+    each one ends a window, the latest place of every other term so far gives the shortest window, so no window is lost.
+    Every place between first and last that ends such a window has its own row.
     """
+    return _spans(docs, benchmark, slack, lists, index).select("doc_id", "item_id", "first", "last").distinct()
+
+
+def _spans(docs: DataFrame, benchmark: DataFrame, slack: int, lists: int, index: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    index, frequency = index or inverted_index(docs, benchmark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = stored(items.select(F.monotonically_increasing_id().alias("item"), "item_id", (F.size("words") + slack).alias("reach"), F.array_distinct("words").alias("terms")), "items")
-    terms = stored(items.select(F.explode("terms").alias("word")).distinct().withColumn("term", F.xxhash64("word")), "terms")
-    # Rows of one doc_id are told apart by their text; equal rows have the same places.
-    index = stored(postings(docs, terms, terms.count()).distinct(), "postings")
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    items = items.select("item_id", (F.size("words") + slack).alias("reach"), F.array_distinct("words").alias("terms")).distinct()
+    items = stored(items.select(F.monotonically_increasing_id().alias("item"), "*"), "items")
     each = items.select("item", "item_id", "reach", F.size("terms").alias("k"), F.explode("terms").alias("word")).withColumn("term", F.xxhash64("word"))
-    each = stored(each.join(frequency, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.col("df").asc_nulls_first(), "term"))), "ranked")
-    anchors = index.join(each.filter("rank = 1").select("term", "item", "reach"), "term").select("doc_id", "tie", "item", "reach", F.col("pos").alias("anchor"))
-    others = index.join(each.select("term", "item", "item_id", "k"), "term").select("doc_id", "tie", "item", "item_id", "k", "term", "pos")
+    w = Window.partitionBy("item")
+    each = each.join(frequency, "term", "left").withColumn("rank", F.row_number().over(w.orderBy(F.col("df").asc_nulls_first(), "term"))).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(w))
+    each = stored(each.filter("least > 0"), "ranked")  # an item with a word that no document has is nowhere
+    n_each = each.count()
+    held = broadcast_if_small(each.select("item", "item_id", "reach", "k", "term", "rank"), n_each, BROADCAST_ROWS)
+
+    def same(a: str, b: str, *columns: str) -> Column:
+        out = F.lit(True)
+        for c in columns:
+            out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        return out
+
+    # Rows of one doc_id are told apart by their text; equal rows have the same places.
+    anchors = stored(index.join(held.filter("rank = 1"), "term").select("doc_id", "tie", "item", "reach", "k", F.col("pos").alias("anchor")).distinct(), "anchors1")
+    for r in range(2, lists + 1):
+        a, o = anchors.alias("a"), index.join(held.filter(F.col("rank") == r), "term").select("doc_id", "tie", "item", "pos").alias("o")
+        near = same("a", "o", "doc_id", "tie", "item") & (F.abs(F.col("o.pos") - F.col("a.anchor")) < F.col("a.reach"))
+        anchors = stored(a.filter(F.col("k") >= r).join(o, near, "left_semi").unionByName(anchors.filter(F.col("k") < r)), f"anchors{r}")
+    rows = stored(anchors.select("doc_id", "tie").distinct(), "rows")
+    few = broadcast_if_small(rows, rows.count(), BROADCAST_ROWS).alias("r")
+    others = index.alias("i").join(few, same("i", "r", "doc_id", "tie"), "left_semi").join(held, "term").select("doc_id", "tie", "item", "item_id", "k", "term", "pos").distinct()
     a, o = anchors.alias("a"), others.alias("o")
-    near = F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.tie") == F.col("a.tie")) & (F.col("o.item") == F.col("a.item")) & (F.abs(F.col("o.pos") - F.col("a.anchor")) < F.col("a.reach"))
-    close = o.join(a, near).select("o.doc_id", "o.tie", "o.item", "o.item_id", "o.k", "o.term", "o.pos", "a.anchor", "a.reach")
+    near = same("a", "o", "doc_id", "tie", "item") & (F.abs(F.col("o.pos") - F.col("a.anchor")) < F.col("a.reach"))
+    close = stored(o.join(a, near).select("o.doc_id", "o.tie", "o.item", "o.item_id", "o.k", "o.term", "o.pos", "a.anchor", "a.reach"), "close")
     # For each end of a window at or after the anchor: the latest place of each term up to it.
     anchor = ["doc_id", "tie", "item", "item_id", "k", "reach", "anchor"]
     ends = close.filter("pos >= anchor").select(*anchor, F.col("pos").alias("last"))
-    same = F.lit(True)
-    for c in ("doc_id", "tie", "item", "anchor"):
-        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}"))
-    so_far = ends.alias("e").join(close.alias("c"), same & (F.col("c.pos") <= F.col("e.last")) & (F.col("c.pos") > F.col("e.last") - F.col("e.reach")))
+    so_far = ends.alias("e").join(close.alias("c"), same("e", "c", "doc_id", "tie", "item", "anchor") & (F.col("c.pos") <= F.col("e.last")) & (F.col("c.pos") > F.col("e.last") - F.col("e.reach")))
     latest = so_far.groupBy(*(F.col(f"e.{c}").alias(c) for c in anchor), F.col("e.last").alias("last"), F.col("c.term").alias("term")).agg(F.max("c.pos").alias("pos"))
     spans = latest.groupBy(*anchor, "last").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return spans.filter((F.col("n") == F.col("k")) & (F.col("last") - F.col("first") < F.col("reach"))).select("doc_id", "item_id", "first", "last").distinct()
+    return spans.filter((F.col("n") == F.col("k")) & (F.col("last") - F.col("first") < F.col("reach")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, one_in: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row; tie tells repeated ids apart."""
-    found, counts = matches(docs, benchmark, width)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, one_in: int = 20, slack: int | None = 8) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near for every row; tie tells repeated ids apart.
+
+    n_near is the number of items that have a proximity match; slack None leaves proximity out (n_near is null).
+    """
+    index = inverted_index(docs, benchmark)
+    found, counts = matches(docs, benchmark, width, index=index)
     hit = found.select("doc_id", "tie", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
     hit = hit.distinct().groupBy("doc_id", "tie").agg(F.count("*").alias("n_hit"))
     items = found.select("doc_id", "tie", "item_id").distinct().groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     judged = stored(hit.join(items, (hit["doc_id"].eqNullSafe(items["doc_id"])) & (hit["tie"] == items["tie"])).drop(items["doc_id"]).drop(items["tie"]), "judged")
     rows = counts.join(judged, (counts["doc_id"].eqNullSafe(judged["doc_id"])) & (counts["tie"] == judged["tie"]), "left").drop(judged["doc_id"]).drop(judged["tie"])
+    if slack is None:
+        rows = rows.withColumn("n_near", F.lit(None).cast("long"))
+    else:
+        near = stored(_spans(docs, benchmark, slack, 3, index).select("doc_id", "tie", "item_id").distinct().groupBy("doc_id", "tie").agg(F.count("*").alias("n_near")), "near")
+        rows = rows.join(near, rows["doc_id"].eqNullSafe(near["doc_id"]) & (rows["tie"] == near["tie"]), "left").drop(near["doc_id"]).drop(near["tie"]).withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
@@ -141,5 +175,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, one
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
+        "n_near",
         "tie",
     )

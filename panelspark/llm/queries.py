@@ -60,10 +60,16 @@ sizes AS (SELECT DISTINCT k FROM runs),
 places AS (SELECT doc_id, k, w, unnest(range(0, len(w) - k + 1)) AS i FROM d, sizes WHERE len(w) >= k),
 found AS (SELECT a.doc_id, r.item_id, a.i, a.k FROM (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS run FROM places) a JOIN runs r ON a.k = r.k AND a.run = r.run),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+u AS (SELECT item_id, len(w) + 8 AS reach, len(list_distinct(w)) AS k, unnest(list_distinct(w)) AS word FROM b WHERE len(w) > 0),
+ev AS (SELECT doc_id, p, item_id, reach, k, u.word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) JOIN u USING (word)),
+able AS (SELECT doc_id, item_id FROM ev GROUP BY doc_id, item_id, k HAVING count(DISTINCT word) = k),
+few AS (SELECT ev.* FROM ev JOIN able USING (doc_id, item_id)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT e.doc_id, e.item_id FROM few e JOIN few c ON c.doc_id = e.doc_id AND c.item_id = e.item_id AND c.p <= e.p AND c.p > e.p - e.reach
+  GROUP BY e.doc_id, e.item_id, e.p, e.k HAVING count(DISTINCT c.word) = e.k) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 

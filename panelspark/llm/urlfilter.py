@@ -6,8 +6,8 @@ longest rule wins.
 
 Defined cases: a null url or one without "://" has an empty host and path and no rule; an empty path matches rules with
 an empty path only; of rules of equal length the one with the longer host wins, then block; a rule given twice counts
-once; rows that repeat a page_id are each judged; columns other than page_id and url are ignored; without rules every
-url gets the default verdict.
+once; rows that repeat a page_id are each judged; very long urls are taken whole; columns other than page_id and url are
+ignored, whatever their names; without rules every url gets the default verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations

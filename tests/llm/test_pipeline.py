@@ -1,9 +1,15 @@
-"""The pipeline's stages on the smallest table, each against its operator's own rows."""
+"""The pipeline's stages on the smallest table and on odd rows, each against a plain version."""
+
+import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
-from panelspark.llm import queries
-from panelspark.llm.common import stored
+from panelspark.llm import langid, quality, queries
+from panelspark.llm.common import stored, text_chunks
+from tokenizers import Tokenizer
 
 from . import brute
 
@@ -46,17 +52,103 @@ def test_every_query_has_the_contracted_columns(spark):
             assert query(spark, SF).columns[: len(want)] == want
 
 
-def test_near_dedup_and_decontamination_keep_what_plain_versions_keep(spark, steps):
-    rows = [(r.doc_id, r.text) for r in steps[2].select("doc_id", "text").collect()]
-    assert sorted(r.doc_id for r in steps[3].collect()) == sorted({i for i, (_, c) in brute.near_duplicates(rows).items() if i == c})
+def _clean(spark, texts):
+    """Whether benchmark windows cover less than a twentieth of each text's words."""
     runs = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         own = brute.words(r.text)
         runs |= {tuple(own[k : k + 13]) for k in range(max(1, len(own) - 12)) if own}
-    kept = []
-    for r in steps[3].collect():
-        words = brute.words(r.text)
+    out = []
+    for text in texts:
+        words = brute.words(text)
         hit = {p for n in {len(x) for x in runs} for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in runs for p in range(k, k + n)}
-        if not hit or 20 * len(hit) < len(words):
-            kept.append(r.doc_id)
-    assert sorted(r.doc_id for r in steps[4].collect()) == sorted(kept)
+        out.append(not hit or 20 * len(hit) < len(words))
+    return out
+
+
+def test_near_dedup_and_decontamination_keep_what_plain_versions_keep(spark, steps):
+    rows = [(r.doc_id, r.text) for r in steps[2].select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in steps[3].collect()) == sorted({i for i, (_, c) in brute.near_duplicates(rows).items() if i == c})
+    rows = [(r.doc_id, r.text) for r in steps[3].select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in steps[4].collect()) == sorted(i for (i, t), x in zip(rows, _clean(spark, [t for _, t in rows])) if x)
+
+
+def _measured(texts, measure):
+    return [x for _, raw, offsets in text_chunks(pa.array(texts, type=pa.string())) for x in measure(raw, offsets)]
+
+
+def _good(spark, texts):
+    model = queries.fitted_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    x = np.array(_measured(texts, quality.statistics)).reshape(-1, len(quality.STATISTICS))
+    return (model.intercept + sum(r.weight * r.holds(x) for r in model.rules) >= 0).tolist()
+
+
+def _known(spark, texts):
+    model = queries.fitted_languages(spark.read.parquet(f"{SF}/documents.parquet"))
+    far = _measured(texts, lambda raw, offsets: model.nearest(langid.vectors(raw, offsets))[2])
+    return [any(c.isalpha() for c in t or "") and not x for t, x in zip(texts, far)]
+
+
+def test_quality_and_language_keep_what_plain_versions_keep(spark, steps):
+    for k, plain in ((0, _good), (1, _known)):
+        rows = steps[k].select("doc_id", "text").collect()
+        kept = plain(spark, [r.text for r in rows])
+        assert sorted(r.doc_id for r in steps[k + 1].collect()) == sorted(r.doc_id for r, x in zip(rows, kept) if x)
+
+
+def _packed(rows):
+    tokenizer, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for doc_id, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, queries.END_ID], "<u4")
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+    return sorted(out, key=str)
+
+
+def test_packing_has_every_piece(steps):
+    rows = [(r.doc_id, r.text) for r in steps[-2].select("doc_id", "text").collect()]
+    assert sorted((tuple(r)[:5] for r in steps[-1].collect()), key=str) == _packed(rows)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, steps):
+    """Null and empty texts and ids, repeated rows, a long text; columns whose names the operators use themselves."""
+    plain = [(r.doc_id, r.text) for r in steps[1].select("doc_id", "text").limit(30).collect()]
+    rows = [*plain, plain[0], (plain[1][0], plain[2][1]), (plain[3][0], "some other text of this id that stands alone here"), (10**9, None), (10**9 + 1, ""), (10**9 + 1, ""), (10**9 + 2, " \n"), (None, plain[4][1]), (None, None), (10**9 + 3, " ".join(f"tok{k % 977}" for k in range(20_000)))]
+    return spark.createDataFrame([(t, i, k % 3, f"n{k % 3}", 1.5, None) for k, (i, t) in enumerate(rows)], "text string, doc_id long, rep int, component string, score double, `c0` string").repartition(3)
+
+
+def _own(df):
+    return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, odd):
+    rows = _own(odd)
+    texts = [t for _, t in rows]
+    quality_kept, language_kept, near_kept, clean = (stage(spark, odd, SF) for _, stage in corpus_pipeline.STAGES[:4])
+    assert all(x.columns == odd.columns for x in (quality_kept, language_kept, near_kept, clean))
+    assert _own(quality_kept) == [r for r, x in zip(rows, _good(spark, texts)) if x]
+    assert _own(language_kept) == [r for r, x in zip(rows, _known(spark, texts)) if x]
+    # Rows of one id are one document: it stays or goes with all its texts, of which each stays once.
+    ids = sorted({i for i, _ in rows if i is not None})
+    sets = {i: {brute.shingles(t) for j, t in rows if j == i} - {frozenset()} for i in ids}
+    parent = {i: i for i in ids}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in ids:
+        for j in ids:
+            if i < j and any(100 * len(a & b) >= 75 * len(a | b) for a in sets[i] for b in sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = [r for r in rows if r[0] is None] + [(i, t) for i, t in {r for r in rows if r[0] is not None} if root(i) == i]
+    assert _own(near_kept) == sorted(want, key=str)
+    assert _own(clean) == [r for r, x in zip(rows, _clean(spark, texts)) if x]
+    packed = corpus_pipeline.STAGES[4][1](spark, odd, SF).collect()
+    assert sorted((tuple(r)[:5] for r in packed), key=str) == _packed(rows)
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0
