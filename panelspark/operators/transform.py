@@ -8,9 +8,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by, col, join_keys, listed, nan_to_null, numeric_columns, present
 
+#: Ranges that a table without groups is cut into.
+BUCKETS = 200
+
 
 def winsorize(df: DataFrame, pct: float | tuple[float, float], subset: str | Sequence[str] | None = None, byvars: str | Sequence[str] | None = None, bot: bool = True, top: bool = True) -> DataFrame:
     """Clip columns to their quantiles, whole or by group; pct is one share or (bottom, top).
@@ -63,6 +67,9 @@ def cumulate(df: DataFrame, cumvars: str | Sequence[str], method: str, periodvar
     "between": the first period is window 0, then each stretch up to the next of `time` (positions, shifted so that the
     first is 0) is a window. "first": the earliest period of the whole table is a window of its own, the rest another.
     A null makes the rest of its window null. grossify adds one before and takes it off after.
+
+    Without byvars the one group is cut into BUCKETS ranges of the period, whose counts and products are carried over
+    from range to range in a table of a row for each range and window; periods that are text stay in one range.
     """
     method = method.lower()
     if method == "zero":
@@ -76,9 +83,15 @@ def cumulate(df: DataFrame, cumvars: str | Sequence[str], method: str, periodvar
     df, names, keys = nan_to_null(df), listed(cumvars), listed(byvars)
     if grossify:
         df = df.withColumns({c: col(c) + 1 for c in names})
-    window = "__cumulate_window"
+    window, bucket, out = "__cumulate_window", "__bucket", df.columns
+    df = _in_ranges(df, periodvar, bucket) if not keys else df.withColumn(bucket, F.lit(0))
     if method == "between":
-        place = F.row_number().over(by(keys).orderBy(col(periodvar).asc_nulls_last())) - 1
+        place = F.row_number().over(by([*keys, bucket]).orderBy(col(periodvar).asc_nulls_last())) - 1
+        if not keys:
+            sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n"))
+            before = sizes.select(bucket, (F.sum("__n").over(Window.orderBy(bucket)) - F.col("__n")).alias("__before"))
+            df = df.join(F.broadcast(before), bucket)  # a row for each range
+            place = place + F.col("__before")
         ends = sorted(t - min(time) for t in time)
         later = reduce(lambda a, b: a + b, [(place > F.lit(t)).cast("int") for t in ends if t > 0], F.lit(1))
         df = df.withColumn(window, F.when(place == 0, F.lit(0)).otherwise(later))
@@ -86,14 +99,32 @@ def cumulate(df: DataFrame, cumvars: str | Sequence[str], method: str, periodvar
         first = df.agg(F.min(col(periodvar)).alias("__first"))
         # One row: the table's earliest period.
         df = df.join(F.broadcast(first)).withColumn(window, F.when(col(periodvar) == F.col("__first"), 0).otherwise(1)).drop("__first")
-    w = by([*keys, window]).orderBy(col(periodvar).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    done = {c: F.when(F.count(F.when(col(c).isNull(), 1)).over(w) == 0, F.product(col(c).cast("double")).over(w)) for c in names}
-    df = df.withColumns({f"cum_{c}": x for c, x in done.items()})
+    w = by([*keys, window, bucket]).orderBy(col(periodvar).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    nulls = {c: F.count(F.when(col(c).isNull(), 1)) for c in names}
+    values = {c: F.product(col(c).cast("double")) for c in names}
+    if keys:
+        done = {c: F.when(nulls[c].over(w) == 0, values[c].over(w)) for c in names}
+    else:
+        totals = df.groupBy(window, bucket).agg(*(nulls[c].alias(f"__nulls{i}") for i, c in enumerate(names)), *(F.coalesce(values[c], F.lit(1.0)).alias(f"__value{i}") for i, c in enumerate(names)))
+        earlier = Window.partitionBy(window).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        carried = [F.coalesce(f(f"__{n}{i}").over(earlier), F.lit(x)).alias(f"__{n}{i}") for i in range(len(names)) for f, n, x in ((F.sum, "nulls", 0), (F.product, "value", 1.0))]
+        df = df.join(F.broadcast(totals.select(window, bucket, *carried)), [window, bucket])
+        done = {c: F.when(nulls[c].over(w) + F.col(f"__nulls{i}") == 0, values[c].over(w) * F.col(f"__value{i}")) for i, c in enumerate(names)}
+    df = df.withColumns({f"cum_{c}": x for c, x in done.items()}).select(*map(col, out), *(col(f"cum_{c}") for c in names))
     if grossify:
         df = df.withColumns({n: col(n) - 1 for c in names for n in (c, f"cum_{c}")})
     if replace:
         df = df.drop(*names).withColumnsRenamed({f"cum_{c}": c for c in names})
-    return df.drop(window)
+    return df
+
+
+def _in_ranges(df: DataFrame, name: str, bucket: str) -> DataFrame:
+    """df with the range of its approximate quantiles that a column lies in; null is in the last one, after all others."""
+    if not isinstance(df.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df.withColumn(bucket, F.lit(0))
+    cuts = df.agg(F.percentile_approx(col(name), [k / BUCKETS for k in range(1, BUCKETS)]).alias("__cuts"))  # one row
+    here = F.when(col(name).isNull(), BUCKETS).otherwise(F.size(F.filter("__cuts", lambda c: c < col(name))))
+    return df.join(F.broadcast(cuts)).withColumn(bucket, here).drop("__cuts")
 
 
 def long_to_wide(df: DataFrame, groupvars: str | Sequence[str], values: str | Sequence[str], colindex: str | Sequence[str] | None = None, colindex_only: bool = False, columns: Sequence | None = None, orderby: str | Sequence[str] | None = None) -> DataFrame:

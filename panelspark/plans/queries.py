@@ -442,3 +442,11 @@ def sql_cube(spark, sf_dir):
 def sql_semi_cross_union(spark, sf_dir):
     frames = {t: read(spark, sf_dir, t) for t in ("customer", "orders", "supplier", "region")}
     return sql_plan.sql(frames, "select c_custkey as k from customer left semi join orders on o_custkey = c_custkey union select s_suppkey from supplier union all select a.r_regionkey * 10 + b.r_regionkey from region a cross join region b where a.r_regionkey < b.r_regionkey")
+
+
+@query("""WITH e AS (SELECT event_id, ts, 1 + value / 1e7 AS r, row_number() OVER (ORDER BY ts, event_id) - 1 AS p FROM events),
+w AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE 1 + (p > 20)::INT + (p > 3000)::INT END AS win FROM e)
+SELECT event_id, round(r, 9) AS r, round(product(r) OVER (PARTITION BY win ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 7) AS cum_r FROM w""")
+def cumulate_whole_table(spark, sf_dir):
+    df = read(spark, sf_dir, "events").select("event_id", "ts", (1 + F.col("value") / 1e7).alias("r"))
+    return rounded(rounded(transform.cumulate(df, "r", "between", "ts", time=[1, 21, 3001]), "r", digits=9), "cum_r", digits=7).drop("ts")

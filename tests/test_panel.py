@@ -34,6 +34,20 @@ def test_cumulate(panel, method, time, want):
     assert values(transform.cumulate(panel, "RET", method, byvars=["PERMNO", "byvar"], time=time), "cum_RET") == pytest.approx(want)
 
 
+def test_cumulate_without_groups_carries_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(d), None if d in (500, 501) else float(rng.uniform(0.99, 1.01))) for d in range(800)]
+    df = spark.createDataFrame([*rows, (None, 1.5)], "d double, r double").repartition(3)
+    for method, time, starts in (("between", [0, 3, 400], (0, 1, 4, 401)), ("first", None, (0, 1))):
+        want, run = {}, None
+        for k, (d, r) in enumerate([*rows, (None, 1.5)]):
+            run = r if k in starts else None if run is None or r is None else run * r
+            want[d] = run
+        got = {x.d: x.cum_r for x in transform.cumulate(df, "r", method, "d", time=time).collect()}
+        assert {k: v is None for k, v in got.items()} == {k: v is None for k, v in want.items()}
+        assert all(v is None or v == pytest.approx(want[k]) for k, v in got.items())
+
+
 def test_cumulate_arguments(panel):
     with pytest.raises(NotImplementedError):
         transform.cumulate(panel, "RET", "zero")
