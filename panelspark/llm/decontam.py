@@ -134,12 +134,16 @@ def _spans(docs: DataFrame, benchmark: DataFrame, slack: int, lists: int, index:
         a, o = anchors.alias("a"), index.join(held.filter(F.col("rank") == r), "term").select("doc_id", "tie", "item", "pos").alias("o")
         near = same("a", "o", "doc_id", "tie", "item") & (F.abs(F.col("o.pos") - F.col("a.anchor")) < F.col("a.reach"))
         anchors = stored(a.filter(F.col("k") >= r).join(o, near, "left_semi").unionByName(anchors.filter(F.col("k") < r)), f"anchors{r}")
-    rows = stored(anchors.select("doc_id", "tie").distinct(), "rows")
-    few = broadcast_if_small(rows, rows.count(), BROADCAST_ROWS).alias("r")
-    others = index.alias("i").join(few, same("i", "r", "doc_id", "tie"), "left_semi").join(held, "term").select("doc_id", "tie", "item", "item_id", "k", "term", "pos").distinct()
-    a, o = anchors.alias("a"), others.alias("o")
+    # Postings of candidates only: first of their rows, then of those rows' items, whose terms they must be.
+    able = stored(anchors.select("doc_id", "tie", "item").distinct(), "candidates")
+    n_able = able.count()
+    rows = broadcast_if_small(able.select("doc_id", "tie").distinct(), n_able, BROADCAST_ROWS).alias("r")
+    pairs = broadcast_if_small(able, n_able, BROADCAST_ROWS).alias("p")
+    own = index.alias("i").join(rows, same("i", "r", "doc_id", "tie"), "left_semi").join(held, "term").select("doc_id", "tie", "item", "item_id", "k", "term", "pos")
+    a, o = anchors.alias("a"), own.alias("q").join(pairs, same("q", "p", "doc_id", "tie", "item"), "left_semi").alias("o")
     near = same("a", "o", "doc_id", "tie", "item") & (F.abs(F.col("o.pos") - F.col("a.anchor")) < F.col("a.reach"))
-    close = stored(o.join(a, near).select("o.doc_id", "o.tie", "o.item", "o.item_id", "o.k", "o.term", "o.pos", "a.anchor", "a.reach"), "close")
+    close = o.join(a, near).select("o.doc_id", "o.tie", "o.item", "o.item_id", "o.k", "o.term", "o.pos", "a.anchor", "a.reach")
+    close = stored(close.distinct(), "close")  # equal rows have equal postings
     # For each end of a window at or after the anchor: the latest place of each term up to it.
     anchor = ["doc_id", "tie", "item", "item_id", "k", "reach", "anchor"]
     ends = close.filter("pos >= anchor").select(*anchor, F.col("pos").alias("last"))
