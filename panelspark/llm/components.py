@@ -53,12 +53,13 @@ def _in_one_task(forward: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node of edges (a, b), which are whole numbers; component is the smallest node reachable.
 
-    Rounds grow with the logarithm of the number of edges. Each round is a table in the shared folder.
+    Edges are counted first, so they should be a stored table. Rounds grow with the logarithm of their number; each is a
+    table in the shared folder.
     """
-    forward = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    forward = stored(forward, "edges")
+    forward = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
     if forward.count() <= one_task:
         return _in_one_task(forward)
+    forward = stored(forward.distinct(), "edges")
     for step in range(most_rounds):
         if _settled(forward):
             break

@@ -337,7 +337,7 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, type=pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("values").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
 
 
 PLACE = ["node", "query_cell", "target_cell"]
@@ -462,7 +462,7 @@ def cell_links(members: DataFrame, sets: DataFrame, percent: int, least: float =
             pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=np.iinfo(np.int64).max)), pa.array(pairs.max(axis=1, initial=np.iinfo(np.int64).min))], names=["a", "b"])
 
-    return _dealt(rows, "cell").mapInArrow(linked, "a long, b long").distinct()
+    return _dealt(rows, "cell").mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, least_estimate: float = LEAST_ESTIMATE) -> DataFrame:
@@ -480,13 +480,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, least_estimate: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _bytes(tokens)], type=pa.binary())], names=["rep", "sketch"])
 
     shared = leaves(reps)
-    sketches = stored(reps.join(shared.select("rep").distinct(), "rep", "left_semi").mapInArrow(short, "rep long, sketch binary"), "sketches")
+    sketches = stored(reps.mapInArrow(short, "rep long, sketch binary"), "sketches")
     # A class of equal sets has its smallest doc_id as its rep; a repeated doc_id in several classes links them.
     copies = known.join(firsts.filter("copies > 1").select("print", "rep"), "print").filter("doc_id != rep")
-    copies = stored(copies.select(F.col("doc_id").alias("node"), "rep").distinct(), "copies")
-    several = copies.groupBy("node").count().filter("count > 1").select("node").unionByName(firsts.select(F.col("rep").alias("node")))
-    links = stored(copies.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links")
+    copies = stored(copies.select(F.col("doc_id").alias("node"), "rep"), "copies")
     repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    links = copies.limit(0).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    if repeated:
+        copies = stored(copies.distinct(), "copies")
+        several = copies.groupBy("node").count().filter("count > 1").select("node").unionByName(firsts.select(F.col("rep").alias("node")))
+        links = stored(copies.join(several, "node", "left_semi").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links")
     sets = None
     tables = [firsts, shared, sketches]
 
@@ -516,13 +519,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, least_estimate: float =
         tables.append(rows)
         nodes = rows.filter(F.col("n") * F.col("q") > MOST_WORK)
         if nodes.isEmpty():
+            nodes = None
             break
-    members = stored(likely_members(narrowed_nodes(rows, components, reps, tables), sketches, least_estimate), "members")
+    rest = rows if nodes is None else narrowed_nodes(rows, components, reps, tables)
+    members = stored(likely_members(rest, sketches, least_estimate), "members")
     tables.append(members)
     if not members.isEmpty():
         components = joined(components, stored(cell_links(members, with_sets(members.select(F.col("rep").alias("doc_id"))), percent, least_estimate), "links"))
     of_copies = copies.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    membership = components.unionByName(of_copies).groupBy("node").agg(F.min("component").alias("component"))
+    membership = components.unionByName(of_copies)
+    if repeated:
+        membership = membership.groupBy("node").agg(F.min("component").alias("component"))
     membership = stored(membership, "membership")
     discard(*tables)
     return (
