@@ -450,3 +450,42 @@ SELECT event_id, round(r, 9) AS r, round(product(r) OVER (PARTITION BY win ORDER
 def cumulate_whole_table(spark, sf_dir):
     df = read(spark, sf_dir, "events").select("event_id", "ts", (1 + F.col("value") / 1e7).alias("r"))
     return rounded(rounded(transform.cumulate(df, "r", "between", "ts", time=[1, 21, 3001]), "r", digits=9), "cum_r", digits=7).drop("ts")
+
+
+PADDED = f"""WITH d AS ({DAILY}), f AS (SELECT u.user_id, x.day, d.total FROM (SELECT DISTINCT user_id FROM d) u CROSS JOIN (SELECT DISTINCT day FROM d) x LEFT JOIN d ON d.user_id = u.user_id AND d.day = x.day)
+"""
+
+
+@query(PADDED + "SELECT user_id, day, first_value(total IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS total FROM f")
+def add_missing_rows_backwards(spark, sf_dir):
+    return fill.add_missing_group_rows(_daily(spark, sf_dir), "user_id", "day", "bfill", 2)
+
+
+@query(PADDED + "SELECT * FROM f")
+def add_missing_rows_unfilled(spark, sf_dir):
+    return fill.add_missing_group_rows(_daily(spark, sf_dir), "user_id", "day", None)
+
+
+@query(f"""WITH d AS ({DAILY}) SELECT u.user_id, x.day, coalesce(d.total, 0) AS total FROM (SELECT DISTINCT user_id FROM d) u
+CROSS JOIN (SELECT CAST(t AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY) s(t)) x LEFT JOIN d ON d.user_id = u.user_id AND d.day = x.day""")
+def fill_excluded_given_days(spark, sf_dir):
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-02-10')) as day")
+    return fill.fill_excluded_rows(_daily(spark, sf_dir), ["user_id", days], "total", 0)
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS group_index FROM events")
+def groupby_index_descending(spark, sf_dir):
+    return merge.groupby_index(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ascending=False).select("event_id", "user_id", "group_index")
+
+
+@query("SELECT c_custkey, ['TX', 'OH', 'Nowhere', 'NY'][c_custkey % 4 + 1] AS state FROM customer")
+def state_abbreviations(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ("Texas", "Ohio", "Nowhere", "New York"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("state"))
+    return strings.state_abbrev(df, "state", toabbrev=True)
+
+
+@query(PORT_AVG.replace("GROUP BY 1, 2)", "GROUP BY 1, 2), h AS (SELECT portfolio, avg(l_discount) AS d FROM p GROUP BY 1)") + "SELECT round((SELECT d FROM h WHERE portfolio = 4) - (SELECT d FROM h WHERE portfolio = 1), 6) AS l_discount")
+def long_short_whole(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_discount", "l_quantity", "l_extendedprice")
+    _, rows = portfolio.portfolio_averages(df, "l_extendedprice", "l_discount", 4, "l_returnflag")
+    return rounded(portfolio.long_short_portfolio(transform.averages(rows, "l_discount", "portfolio"), "portfolio", retvars="l_discount"), "l_discount", digits=6)
