@@ -8,7 +8,7 @@ the child named by the token's value. Texts of high similarity share tokens and
 Links are found in rounds, so that the work stays linear for groups of many near copies. In the first one the texts
 of a node are dealt to blocks, and each text proposes the most similar text of all its blocks; proposals are confirmed
 on the full sets. Nodes that would still take more than MOST_WORK pairs propose again, each text outside its own
-component, as long as that finds links. The last round is exhaustive: in every node that still holds texts of several
+component, as long as that halves those pairs. The last round is exhaustive: in every node that still holds texts of several
 components, each text outside the node's largest component is compared with all texts of the node. Texts whose sketches
 are alike then meet with their full sets, in groups that are the same for all nodes that hold the same texts, and each
 group gives a spanning forest of the links between its components. So no link is lost, texts that are together already
@@ -507,21 +507,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, least_estimate: float =
         known_links = links if components is None else components.select(F.col("component").alias("a"), F.col("node").alias("b"))
         return stored(connected_components(known_links.unionByName(new)), "components")
 
-    components, step, nodes = None, 0, shared
+    components, step, nodes, before = None, 0, shared, None
     while True:
         pairs = stored(proposals(nodes.select("node", "rep", "n"), components, sketches, step, least_estimate), f"pairs{step}")
         tables.append(pairs)
         new = stored(_confirmed(with_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), pairs, percent), f"links{step}")
-        if step and new.isEmpty():
-            break
         components, step = joined(components, new), step + 1
         rows = open_nodes(shared, components)
         tables.append(rows)
         nodes = rows.filter(F.col("n") * F.col("q") > MOST_WORK)
-        if nodes.isEmpty():
-            nodes = None
+        work = nodes.agg(F.sum("q")).first()[0]  # q pairs for each of a node's texts
+        if not work or (before is not None and 2 * work > before):
             break
-    rest = rows if nodes is None else narrowed_nodes(rows, components, reps, tables)
+        before = work
+    rest = rows if not work else narrowed_nodes(rows, components, reps, tables)
     members = stored(likely_members(rest, sketches, least_estimate), "members")
     tables.append(members)
     if not members.isEmpty():
