@@ -76,15 +76,16 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return total[first[1:]] - total[first[:-1]]
 
-    kinds = _KIND[raw]
     lengths = ends - starts
+    # How often each byte occurs in each text: sums over kinds of bytes come from it.
+    held = np.stack([np.bincount(raw[a:b], minlength=256) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]) if n else np.zeros((0, 256), np.int64)
     pairs = keys[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ keys[1:]
     out[:, 0], out[:, 1], out[:, 2] = np.log1p(sizes), np.log1p(n_words), np.log1p(n_lines)
     out[:, 3] = sums(lengths, words) / np.maximum(n_words, 1)
     out[:, 4] = sums(lengths > 15, words) / np.maximum(n_words, 1)
     for at, kind in ((5, 0), (6, 1), (8, 2), (9, 3), (10, 4)):
-        out[:, at] = sums(kinds == kind, offsets) / some
-    out[:, 7] = sums((raw >= 65) & (raw < 91), offsets) / some
+        out[:, at] = held[:, _KIND == kind].sum(axis=1) / some
+    out[:, 7] = held[:, 65:91].sum(axis=1) / some
     out[:, 11] = _shares(words, keys)
     same = np.zeros(len(keys), dtype=bool)
     if len(keys) > 1:
@@ -94,7 +95,11 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, 14] = _shares(lines, line_keys)
     out[:, 16] = sums(_END[raw[line_ends - 1]] if len(line_ends) else np.zeros(0, bool), lines) / np.maximum(n_lines, 1)
     out[:, 17] = np.log1p(n_words / np.maximum(n_lines, 1))
-    out[:, 19] = sums(_SYMBOL[raw], offsets) / some
+    out[:, 19] = held[:, _SYMBOL].sum(axis=1) / some
+    held[:, 97:123] += held[:, 65:91]
+    held[:, 65:91] = 0
+    shares = held / some[:, None]
+    out[:, 18] = -(shares * np.log2(np.where(held > 0, shares, 1))).sum(axis=1)
     for k in range(n):
         a, b = int(words[k]), int(words[k + 1])
         if b > a:
@@ -104,10 +109,6 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if b - a > 1:
             own = np.sort(pairs[a : b - 1])
             out[k, 15] = (1 + int((own[1:] != own[:-1]).sum())) / (b - a - 1)
-        if sizes[k]:
-            share = np.bincount(lowered[offsets[k] : offsets[k + 1]], minlength=256) / sizes[k]
-            share = share[share > 0]
-            out[k, 18] = -(share * np.log2(share)).sum()
     return out
 
 
@@ -300,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """docs with score (double) and predicted (int), which replace columns of these names."""
+    small_batches(docs.sparkSession)
     struct = "__statistics"
     score = model.score(struct)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", struct)]
