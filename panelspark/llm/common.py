@@ -59,14 +59,16 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most `rows` rows in an Arrow batch, so that long texts don't fill a worker's memory.
+def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
+    """At most `rows` rows and about most_bytes in an Arrow batch, so that long texts don't fill a worker's memory.
 
-    This is a setting of the session, and stays: plans that are made lazily run with it later.
+    These are settings of the session, and stay: plans that are made lazily run with them later.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        text = spark.conf.get(name)
+        now = int(text.rstrip("bB")) if text.rstrip("bB").lstrip("-").isdigit() else most + 1
+        if not 0 < now <= most:
+            spark.conf.set(name, most)
 
 
 def parts(spark: SparkSession) -> int:

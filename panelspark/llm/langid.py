@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, text_chunks
+from .common import LOWER, small_batches, text_chunks
 
 DIMS = 4096
 #: The model is fitted on the driver on at most this many distinct texts of each language (and SAMPLE in all), those of least hash.
@@ -89,6 +89,7 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS, seed: int = 1) -> LanguageModel:
     """Fit on (text, lang) rows with both present; per_lang bounds what the driver collects."""
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Copies of a text have one hash: each distinct text of a language counts once, and only once can it be chosen.
     distinct = rows.select("lang", F.xxhash64("text", F.lit(seed)).alias("h")).distinct()
@@ -141,6 +142,7 @@ def fit(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int = C
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred, score and rejected (they replace columns of these names); only the text is looked at."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in RESERVED]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_folder, stored
+from .common import parts, shared_folder, small_batches, stored
 
 #: The skippable frame that holds a dictionary, as the format for Zstandard-compressed WARC files has it (fixed value).
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -108,6 +108,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 def write(pages: DataFrame, path: str, dictionary: bytes, least_revisit: int = 0, level: int = LEVEL) -> DataFrame:
     """Write the archives below path; (file, records) of each. Payloads of fewer bytes than least_revisit are all kept."""
     spark = pages.sparkSession
+    small_batches(spark)
     html = F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     # Ids as text, null as the empty one, so that joins find them.
