@@ -38,6 +38,9 @@ REJECT_SHARE = 0.5
 #: Texts of fewer distinct n-grams get a proportionally smaller threshold.
 FULL_EVIDENCE = 150
 
+#: Bytes whose n-grams are hashed at once, which takes some 60 times their size; a longer text is counted piece by piece.
+PIECE = 1 << 20
+
 RESERVED = ("lang_pred", "score", "rejected", "__letters")
 
 _CLASS = LOWER.copy()
@@ -45,25 +48,38 @@ _CLASS[48:58] = 48
 _CLASS[np.r_[0:48, 58:65, 91:97, 123:128]] = 32
 
 
-def vectors(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log(1 + tf) of the hashed n-grams, one row for each text."""
+def _grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed bigram and trigram that begin at each byte, -1 for two blanks."""
     codes = _CLASS[raw].astype(np.uint32)
-    n = len(offsets) - 1
-    out = np.zeros((n, DIMS), dtype=np.float32)
-    if len(codes) < 2:
-        return out
     pairs = codes[:-1] * np.uint32(256) + codes[1:]
     two = ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
     triples = pairs[:-1] * np.uint32(256) + codes[2:]
     three = ((triples * np.uint32(0x85EBCA77)) >> np.uint32(20)).astype(np.int64)
     blank = np.uint32(32 * 257)
     two[pairs == blank] = -1  # runs of blanks say nothing
-    for k in range(n):
-        a, b = int(offsets[k]), int(offsets[k + 1])
-        if b - a < 2:
-            continue
-        grams = np.concatenate((two[a : b - 1], three[a : max(a, b - 2)]))
-        out[k] = np.bincount(grams[grams >= 0], minlength=DIMS)
+    return two, three
+
+
+def _counted(two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    grams = np.concatenate((two, three))
+    return np.bincount(grams[grams >= 0], minlength=DIMS)
+
+
+def vectors(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """log(1 + tf) of the hashed n-grams, one row for each text."""
+    n = len(offsets) - 1
+    out = np.zeros((n, DIMS), dtype=np.float32)
+    spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+    if len(raw) <= PIECE:
+        two, three = _grams(raw) if len(raw) > 1 else (raw, raw)
+        for k, (a, b) in enumerate(spans):
+            if b - a > 1:
+                out[k] = _counted(two[a : b - 1], three[a : max(a, b - 2)])
+    else:
+        for k, (a, b) in enumerate(spans):
+            # The n-grams that begin in each piece; the two bytes after it end its last ones.
+            pieces = (_grams(raw[at : min(b, at + PIECE + 2)]) for at in range(a, b - 1, PIECE))
+            out[k] = sum(_counted(two[:PIECE], three[:PIECE]) for two, three in pieces)
     return np.log1p(out, out=out)
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest table and on odd rows, each against a plain version."""
 
+import tracemalloc
 import zlib
 
 import corpus_pipeline
@@ -157,3 +158,21 @@ def test_stages_on_odd_rows(spark, odd):
 def test_stages_on_an_empty_table(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_a_long_text_is_counted_whole_in_bounded_memory(monkeypatch):
+    raw = np.random.default_rng(4).choice(np.frombuffer(b"aeiou rstlnm  AZ19.\n", dtype=np.uint8), 8 << 20)
+    offsets = np.array([0, len(raw)])
+    tracemalloc.start()
+    got = langid.vectors(raw, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # at once they took over 400 MB
+    monkeypatch.setattr(langid, "PIECE", len(raw))
+    assert (got == langid.vectors(raw, offsets)).all()
+    # Several texts, with edges of pieces at, before and behind their ends.
+    short, offsets = raw[:40], np.array([0, 0, 1, 3, 12, 13, 40])
+    want = langid.vectors(short, offsets)
+    for size in range(1, 15):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert (langid.vectors(short, offsets) == want).all()
