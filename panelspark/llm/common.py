@@ -24,6 +24,10 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Rows that Spark's Parquet reader holds at once.
+READ_ROWS = 128
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, which every executor can reach.
 
@@ -59,12 +63,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 4 << 20, read: int = READ_ROWS) -> None:
     """At most `rows` rows and about most_bytes in an Arrow batch, so that long texts don't fill a worker's memory.
 
+    Spark's Parquet reader holds a batch of rows by number only, and as it doubles its buffers up to three times their
+    bytes: 4096 texts of 100 KB, as is its default, don't fit an executor. So it takes `read` rows at most.
     These are settings of the session, and stay: plans that are made lazily run with them later.
     """
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes), ("spark.sql.parquet.columnarReaderBatchSize", read)):
         text = spark.conf.get(name)
         now = int(text.rstrip("bB")) if text.rstrip("bB").lstrip("-").isdigit() else most + 1
         if not 0 < now <= most:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, small_batches, stored
 
 #: Runs of ASCII that end a word once A-Z are lower case: all but 0-9 and a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -158,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, one
 
     n_near is the number of items that have a proximity match; slack None leaves proximity out (n_near is null).
     """
+    small_batches(docs.sparkSession)
     index = inverted_index(docs, benchmark)
     found, counts = matches(docs, benchmark, width, index=index)
     hit = found.select("doc_id", "tie", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))

@@ -160,6 +160,21 @@ def test_stages_on_an_empty_table(spark, odd):
         assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_read_few_long_texts_at_once(spark, stage):
+    for name in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(name)
+    docs = stored(spark.range(1000).selectExpr("id AS doc_id", "repeat('one two ', 10 + id % 7) AS text", "'en' AS lang", "'x' AS source").coalesce(1), "docs")
+    stage(spark, docs, SF)
+    # The reader's batches of the table: 4096 texts of 100 KB in one don't fit an executor's heap.
+    read = docs.select("text")
+    plan = read._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    while plan.metrics().get("numInputBatches").isEmpty():
+        plan = plan.children().apply(0)
+    assert plan.metrics().apply("numInputBatches").value() >= 1000 // 128
+
+
 def test_a_long_text_is_counted_whole_in_bounded_memory(monkeypatch):
     raw = np.random.default_rng(4).choice(np.frombuffer(b"aeiou rstlnm  AZ19.\n", dtype=np.uint8), 8 << 20)
     offsets = np.array([0, len(raw)])
