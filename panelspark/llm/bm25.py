@@ -49,11 +49,15 @@ BLOCK = 16
 #: Documents of like words, and the terms by which they are told.
 CLUSTER, LIKENESS = 128, 256
 #: Lists of terms in more than this share of a shard's documents are long: they have several postings in many blocks.
-LONG = 1 / 64
+LONG = 1 / 16
 #: Cells (documents times terms) of the long lists that a shard lays out in full.
 DENSE = 8_000_000
 #: Queries that a shard reads together, and those of them that it answers together.
-READ, TOGETHER = 256, 64
+READ, TOGETHER = 256, 256
+#: Blocks that are visited together.
+RUN = 8
+#: Queries whose short lists are summed together: their postings stay in the processor's cache.
+SUMMED = 8
 #: Stands for a null doc_id; null comes first among ties.
 NULL_ID = np.iinfo(np.int64).min
 
@@ -166,25 +170,27 @@ class ShardIndex:
         keys = np.frombuffer(b"".join([terms[k] for k in some.tolist()]), dtype=np.uint64)
         tf = np.concatenate([np.frombuffer(counts[k], dtype=np.uint16 if 2 * m == len(counts[k]) else np.uint32).astype(np.uint32) for k, m in zip(some.tolist(), lengths.tolist())]) if n else np.zeros(0, np.uint32)
         order = np.argsort(keys, kind="stable")
-        self.tf = tf[order]
+        tf = tf[order]
         self.docs = np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
         keys = keys[order]
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         self.keys = keys[edges]
         self.starts = np.append(edges, len(keys))
-        del keys, order, tf
+        del keys, order
+        #: The impact of each posting.
+        self.each = self._impact(tf, self.docs)
         # Long lists, as many as DENSE cells hold, have their blocks laid out in full.
         df = np.diff(self.starts)
         often = np.argsort(-df, kind="stable")[: max(1, DENSE // len(self.norm))]
         often = often[df[often] > LONG * len(self.norm)]
         self.column = np.full(len(self.keys), -1, dtype=np.int64)
         self.column[often] = np.arange(len(often))
-        self.counts = np.zeros((len(self.norm), len(often)), dtype=np.uint16 if self.tf.max(initial=0) < 65536 else np.uint32)
+        self.counts = np.zeros((len(self.norm), len(often)), dtype=np.uint16 if tf.max(initial=0) < 65536 else np.uint32)
         self.impacts = np.zeros((len(self.norm), len(often)), dtype=np.float32)
         for k, t in enumerate(often.tolist()):
             own = slice(self.starts[t], self.starts[t + 1])
-            self.counts[self.docs[own], k] = self.tf[own]
-            self.impacts[self.docs[own], k] = self._impact(self.tf[own], self.docs[own])
+            self.counts[self.docs[own], k] = tf[own]
+            self.impacts[self.docs[own], k] = self.each[own]
         # Upper bounds, rounded up.
         self.block_max = np.nextafter(self.impacts.reshape(self.n_blocks, BLOCK, -1).max(axis=1), np.float32(4))
         #: Scores computed, those that a bound called for, and all there were: what pruning saved.
@@ -211,16 +217,15 @@ class ShardIndex:
         # In short lists a block's maximum is its posting, so they are summed as they are, for some queries at a time.
         short = column < 0
         sums = np.zeros((m, width))
-        for a in range(0, m, TOGETHER):
-            own = slice(*np.searchsorted(owner, (a, a + TOGETHER)))
+        for a in range(0, m, SUMMED):
+            own = slice(*np.searchsorted(owner, (a, a + SUMMED)))
             lists = at[own][short[own]]
             starts, counts = self.starts[lists], self.starts[lists + 1] - self.starts[lists]
             ends = np.cumsum(counts)
             places = np.repeat(starts - (ends - counts), counts) + np.arange(counts.sum())
             docs = self.docs[places]
             cell = np.repeat((owner[own][short[own]] - a) * width, counts) + docs
-            sums[a : a + TOGETHER] = np.bincount(cell, weights=self._impact(self.tf[places], docs) * np.repeat(weights[own][short[own]], counts), minlength=min(TOGETHER, m - a) * width).reshape(-1, width)
-            del places, docs, cell
+            sums[a : a + SUMMED] = np.bincount(cell, weights=self.each[places] * np.repeat(weights[own][short[own]], counts), minlength=min(SUMMED, m - a) * width).reshape(-1, width)
         exact = np.zeros((m, self.impacts.shape[1]))
         exact[owner[~short], column[~short]] = weights[~short]
         # What single precision may be off by, relative to a sum of positive numbers.
@@ -238,27 +243,27 @@ class ShardIndex:
         """The best k of some queries, from their weights in the long lists, their sums over the short ones and their bounds."""
         m = len(exact)
         wanted = exact.astype(np.float32)
-        # Blocks in order of their bounds, some at a time; a block is passed over by each query whose limit it can't reach.
-        order = np.argsort(-bounds.max(axis=0), kind="stable")
+        # Runs of blocks of like words, in order of their bounds; a run is passed over by each query whose limit it can't reach.
+        edges = np.arange(0, self.n_blocks, RUN)
+        tops = np.maximum.reduceat(bounds, edges, axis=1)
         # Ranks are by scores rounded to nine digits, so a limit is a rounding step below the score.
         limit, best = np.maximum(limits - 1e-8, 0), np.zeros((m, k))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        done, step = 0, max(1, self.n_blocks // 32)
-        while done < self.n_blocks:
-            wave = order[done : done + step]
-            done, step = done + step, max(step, min(2 * step, self.n_blocks // 8))
-            reach = (bounds[:, wave] >= limit[:, None] * (1 - 2 * slack)) & (bounds[:, wave] > 0)
-            asking, wave = np.flatnonzero(reach.any(axis=1)), wave[reach.any(axis=0)]
+        for run in np.argsort(-tops.max(axis=0), kind="stable").tolist():
+            asking = np.flatnonzero((tops[:, run] >= limit * (1 - 2 * slack)) & (tops[:, run] > 0))
             if not len(asking):
                 continue
-            rows = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores = wanted[asking] @ self.impacts[rows].T + sums[asking][:, rows]
+            first, last = RUN * run * BLOCK, min(RUN * (run + 1), self.n_blocks) * BLOCK
+            scores = wanted[asking] @ self.impacts[first:last].T + sums[asking, first:last]
             self.scored += scores.size
+            # Most queries have nothing here that is good enough.
+            some = np.flatnonzero(scores.max(axis=1) >= limit[asking] * (1 - 2 * slack))
+            asking, scores = asking[some], scores[some]
             top = np.partition(np.concatenate((best[asking], scores), axis=1), scores.shape[1], axis=1)[:, -k:]
             best[asking] = top
             limit[asking] = np.maximum(top.min(axis=1) - 1e-8, limit[asking])
             q, d = np.nonzero((scores >= (limit[asking] * (1 - 2 * slack))[:, None]) & (scores > 0))
-            found.append((asking[q], rows[d], scores[q, d]))
+            found.append((asking[q], first + d, scores[q, d]))
         self.reached += int(((bounds >= limit[:, None] * (1 - 2 * slack)) & (bounds > 0)).sum()) * BLOCK
         self.open += m * len(self.norm)
         if not found:

@@ -173,6 +173,25 @@ def test_pruning_loses_no_hit(monkeypatch, dense, long, block):
     assert index.reached <= index.scored < index.open if block == 4 else index.reached <= index.open
 
 
+def test_bm25_scores_only_blocks_that_a_query_can_reach():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{'ab'[k % 2]}{w}" for w in rng.integers(0, 60, 40)) for k in range(1024)]  # two languages without a common word
+    found = [(t, c) for _, own, _ in bm25._terms(pa.array(texts)) for t, c in own]
+    sizes = np.full(len(texts), 40)
+    packed = [pa.array([x.tobytes() for x in part], pa.binary()) for part in ([t for t, _ in found], [c.astype(np.uint16) for _, c in found])]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(1024, np.int32)), pa.array(np.arange(1024)), pa.array(sizes), *packed], names=["shard", "doc_id", "size", "terms", "counts"])
+    index = bm25.ShardIndex(iter([batch]), 40.0)
+    queries = [(t, c.astype(np.float64)) for t, c in found[:60]]
+    got = index.search(queries, 5)
+    # Both languages are asked for together; queries that stand in one batch needn't share their blocks.
+    assert index.scored <= 0.6 * index.open
+    for (terms, weights), (ids, scores) in zip(queries, got):
+        of = dict(zip(terms.tolist(), weights.tolist()))
+        plain = [round(sum(of.get(t, 0) * n * 2.2 / (n + 1.2) for t, n in zip(own.tolist(), counts.tolist())), 9) for own, counts in found]
+        want = sorted((-s, k) for k, s in enumerate(plain) if s > 0)[:5]
+        assert ids.tolist() == [k for _, k in want] and np.allclose(scores, [-s for s, _ in want])
+
+
 def test_language_id(docs, none):
     model = langid.fit(docs)
     got = sorted(langid.predict(docs, model).collect(), key=key)
