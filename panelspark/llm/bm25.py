@@ -5,11 +5,10 @@ documents of like words stand together (by bisection along the direction in whic
 and cut into blocks; every term's postings have the largest impact of the term in each block. Long lists have their
 blocks laid out in full, beside their block maxima; in short ones, with far fewer postings than there are blocks, a
 block's maximum is as a rule its one posting, which is summed as it is.
-For a query, the block maxima of its terms add up to a bound on the scores in each block. Blocks are visited in order
-of their bounds: the pivot is the first block that the k-th best score so far doesn't rule out, blocks whose bound is
-below it are skipped, and the limit rises with every wave of blocks. This is block-max WAND with the lists aligned on
-blocks and pivots taken for a block, not a document, at a time; queries that begin with the same blocks share a wave's
-matrix product.
+For a query, the block maxima of its terms add up to a bound on the scores in each block. Runs of neighbouring blocks
+are visited in order of their bounds: a query skips those whose bound is below its k-th best score so far, and this
+limit rises with every run. This is block-max WAND with the lists aligned on blocks and pivots taken for a run of
+blocks, not a document, at a time; the queries that can reach a run share a matrix product.
 Bounds are single precision rounded up; what may be among the best is scored again in double precision, so the result
 is exact. Shards use the corpus's own document frequencies and mean length, and their lists are merged by score.
 
@@ -48,7 +47,7 @@ DOCUMENTS = 8192
 BLOCK = 16
 #: Documents of like words, and the terms by which they are told.
 CLUSTER, LIKENESS = 128, 256
-#: Lists of terms in more than this share of a shard's documents are long: they have several postings in many blocks.
+#: Lists of terms in more than this share of a shard's documents are long: a block has one of their postings or more on average.
 LONG = 1 / 16
 #: Cells (documents times terms) of the long lists that a shard lays out in full.
 DENSE = 8_000_000
